@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP2_SQL, op2_heavy_hitters
+from .near_dup import op1_minhash_bayes
 from .substring import op5_seed_extend
 from .suffix_dedup import op9_suffix_array
 
 QUERIES = {
+    "op1_minhash_bayes": op1_minhash_bayes,
+    "op2_heavy_hitters": op2_heavy_hitters,
     "op5_seed_extend": op5_seed_extend,
     "op9_suffix_array": op9_suffix_array,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_heavy_hitters": OP2_SQL}
