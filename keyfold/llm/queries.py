@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .exact_dedup import OP2_SQL, op2_heavy_hitters
 from .near_dup import op1_minhash_bayes
+from .packing import op4_best_fit
+from .sst import op7_sorted_string_table
 from .substring import op5_seed_extend
 from .suffix_dedup import op9_suffix_array
 
 QUERIES = {
     "op1_minhash_bayes": op1_minhash_bayes,
     "op2_heavy_hitters": op2_heavy_hitters,
+    "op4_best_fit": op4_best_fit,
     "op5_seed_extend": op5_seed_extend,
+    "op7_sorted_string_table": op7_sorted_string_table,
     "op9_suffix_array": op9_suffix_array,
 }
 
