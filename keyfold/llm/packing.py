@@ -71,64 +71,77 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _offers(bins: list[list[int]], lengths: list[int]) -> tuple[np.ndarray, np.ndarray, list]:
-    """What each bin could hand over: one item, two, or nothing (a move)."""
-    size, owner, what = [], [], []
-    for b, items in enumerate(bins):
-        for x in ((), *((i,) for i in items), *((i, j) for k, i in enumerate(items[:16]) for j in items[:k])):
-            size.append(sum(lengths[i] for i in x))
-            owner.append(b)
-            what.append(x)
-    return np.array(size), np.array(owner), what
+class _Offers:
+    """What each underfull bin could hand over for something larger: one item, two, or nothing (a
+    move).  Pairs are formed among a bin's sixteen largest items, which bounds the search alone."""
+
+    def __init__(self, bins: dict[int, list[int]], lengths: list[int]):
+        self.lengths, self.what, self.at = lengths, [], {}
+        self.size, self.owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._extend(bins)
+
+    def _extend(self, bins: dict[int, list[int]]) -> None:
+        size, owner = [], []
+        for b, items in bins.items():
+            first = len(self.what)
+            few = sorted(items, key=lambda i: -self.lengths[i])[:16]
+            self.what += [(), *((i,) for i in items), *((i, j) for k, i in enumerate(few) for j in few[:k])]
+            size += [sum(self.lengths[i] for i in w) for w in self.what[first:]]
+            owner += [b] * (len(self.what) - first)
+            self.at[b] = (first, len(self.what))
+        self.size, self.owner = np.append(self.size, np.array(size, np.int64)), np.append(self.owner, np.array(owner, np.int64))
+
+    def drop(self, b: int) -> None:
+        a, z = self.at.pop(b)
+        self.size[a:z] = 1 << 40  # never less than what is given
+
+    def renew(self, b: int, items: list[int]) -> None:
+        self.drop(b)
+        self._extend({b: items})
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Exchange items between underfull bins while squared fill rises, emptying the least filled."""
-    fewest = -(-sum(lengths) // capacity)
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    open_ = [b for b in range(len(bins)) if fill[b] < capacity]
-    closed = [bins[b] for b in range(len(bins)) if fill[b] >= capacity]
-    bins = [bins[b] for b in open_]
-    while len(closed) + len(bins) > fewest and len(bins) > 1:
-        bins.sort(key=lambda b: sum(lengths[i] for i in b))
-        fill = np.array([sum(lengths[i] for i in b) for b in bins])
-        size, owner, what = _offers(bins, lengths)
+    """Exchange items between underfull bins while squared fill rises, emptying the least filled.
+
+    Each exchange hands one or two items of the least filled bin to another for less, or for
+    nothing; ends when the bins are as few as their tokens need or the least filled can hand
+    nothing on.
+    """
+    fewest, n = -(-sum(lengths) // capacity), len(bins)
+    fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+    if n <= fewest:
+        return bins
+    offers = _Offers({b: bins[b] for b in range(n) if fill[b] < capacity}, lengths)
+    while n > fewest and len(offers.at) > 1:
+        source = min(offers.at, key=lambda b: (fill[b], b))
+        items = sorted(bins[source], key=lambda i: -lengths[i])
         best = None
-        for source in range(len(bins) - 1):
-            for out in ((i,) for i in bins[source]):
-                best = _better(best, source, out, fill, size, owner, what, lengths, capacity)
-            for k, i in enumerate(bins[source][:16]):
-                for j in bins[source][:k]:
-                    best = _better(best, source, (i, j), fill, size, owner, what, lengths, capacity)
-            if best:
-                break
-        if not best:
+        for out in [*((i,) for i in items[:16]), *((i, j) for k, i in enumerate(items[:6]) for j in items[:k])]:
+            d = sum(lengths[i] for i in out) - offers.size
+            at = np.flatnonzero((d > 0) & (d <= capacity - fill[offers.owner]) & (offers.owner != source))
+            if len(at):
+                gain = 2 * d[at] * (fill[offers.owner[at]] - fill[source] + d[at])
+                k = int(np.argmax(gain))
+                if gain[k] > 0 and (best is None or gain[k] > best[0]):
+                    best = int(gain[k]), out, int(at[k]), int(d[at[k]])
+        if best is None:
             break
-        _, source, out, target, back = best
+        _, out, k, d = best
+        target, back = int(offers.owner[k]), offers.what[k]
         bins[source] = [i for i in bins[source] if i not in out] + list(back)
         bins[target] = [i for i in bins[target] if i not in back] + list(out)
-        if sum(lengths[i] for i in bins[target]) == capacity:
-            closed.append(bins[target])
-            bins[target] = None
-        bins = [b for b in bins if b]
-    return closed + bins
-
-
-def _better(best, source, out, fill, size, owner, what, lengths, capacity):
-    """The exchange of ``out`` of bin ``source`` that raises squared fill most, if it beats ``best``."""
-    given = sum(lengths[i] for i in out)
-    d = given - size
-    ok = (d > 0) & (owner != source) & (fill[owner] + d <= capacity)
-    if len(out) == 2:
-        ok &= np.array([len(w) < 2 for w in what]) if ok.any() else ok
-    if not ok.any():
-        return best
-    at = np.flatnonzero(ok)
-    gain = 2 * d[at] * (fill[owner[at]] - fill[source] + d[at])
-    k = int(np.argmax(gain))
-    if gain[k] <= 0 or best and gain[k] <= best[0]:
-        return best
-    return int(gain[k]), source, out, int(owner[at[k]]), what[at[k]]
+        fill[source] -= d
+        fill[target] += d
+        if fill[target] == capacity:
+            offers.drop(target)
+        else:
+            offers.renew(target, bins[target])
+        if fill[source]:
+            offers.renew(source, bins[source])
+        else:
+            offers.drop(source)
+            n -= 1
+    return [b for b in bins if b]
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
