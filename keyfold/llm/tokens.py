@@ -24,7 +24,7 @@ import numpy as np
 import regex
 
 #: Words kept in each of two generations; a full one becomes the old one, and what is used moves on.
-KEPT = 300_000
+KEPT = 400_000
 # The splitting rule of byte-level BPE (the file names it only as "ByteLevel").
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-įı-ɏ]*")
@@ -64,26 +64,31 @@ class Encoder:
         self.rule = regex.compile(splits[0]["pattern"]["Regex"]) if self.words else None
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
-    def _model(self, part: str) -> bytes:
+    def _part(self, part: str) -> bytes:
         """Ids of what the splitting rule gives as one, by the tokenizer's model."""
-        ids = self.parts.get(part)
+        ids = self.known.get(part) or self.old.get(part)
         if ids is None:
-            if len(self.parts) > KEPT:
-                self.parts.clear()
             shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
-            ids = self.parts[part] = array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            ids = array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        self.known[part] = ids
         return ids
 
     def _word_ids(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.lower().split() for t in texts]  # plain texts: Python's white space is ASCII's
         if len(self.known) > KEPT:
             self.old, self.known = self.known, {}
-        known, old, findall, model = self.known, self.old, self.rule.findall, self._model
+        known, old, findall, part = self.known, self.old, self.rule.findall, self._part
         for p in set().union(*split).difference(known):
             have = old.get(p)
-            known[p] = b"".join(map(model, findall(p))) if have is None else have
+            if have is None:
+                if p.isalpha():
+                    have = part(p)
+                elif p[-1] in ".,;:!?" and p[:-1].isalpha():
+                    have = part(p[:-1]) + part(p[-1])
+                else:
+                    have = b"".join(map(part, findall(p)))
+            known[p] = have
         return [np.frombuffer(b"".join(map(known.__getitem__, p)), self.dtype) for p in split]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
