@@ -123,25 +123,11 @@ def intervals(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + length
 
 
-def pack_runs(sorted_ints: np.ndarray) -> bytes:
-    """Ascending integers as runs (start, count), little-endian 32-bit pairs: long runs cost eight bytes."""
-    if not len(sorted_ints):
-        return b""
-    cut = np.flatnonzero(np.diff(sorted_ints) != 1)
-    first = np.append(0, cut + 1)
-    last = np.append(cut, len(sorted_ints) - 1)
-    return np.stack([sorted_ints[first], last - first + 1], 1).astype("<u4").tobytes()
-
-
 def unpack_runs(blob: bytes) -> np.ndarray:
+    """Every place of runs (start, count), little-endian 32-bit pairs."""
     pairs = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64)
     counts = pairs[:, 1]
     if not len(pairs):
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.repeat(pairs[:, 0] - (ends - counts), counts) + np.arange(ends[-1])
-
-
-def merged_runs(blobs) -> np.ndarray:
-    """Distinct integers of many packed lists, ascending."""
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *(unpack_runs(b) for b in blobs)]))

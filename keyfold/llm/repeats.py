@@ -16,12 +16,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import Output, merged_runs, pack_runs
+from .common import Output, table, unpack_runs
+from .rolling import mix
 
 BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
-FLAGS = pa.schema([("doc_id", pa.int64()), ("data", pa.binary())])
+FLAGS = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+LISTS = pa.schema([("doc_id", pa.int64()), ("data", pa.binary())])
 FLUSH = 1 << 20
 
 
@@ -57,14 +58,61 @@ def _settle(x: np.ndarray, lanes: int, rule: str) -> tuple[np.ndarray, np.ndarra
     return ahead, y[np.repeat(times > 1, counts)]
 
 
-def _flag_rows(out: Output, flagged: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(flagged):
-        flagged = flagged[np.lexsort((flagged["at"], flagged["doc"]))]
-        cut = np.append(0, np.flatnonzero(np.diff(flagged["doc"])) + 1)
-        for a, z in zip(cut.tolist(), np.append(cut[1:], len(flagged)).tolist()):
-            out.add(int(flagged["doc"][a]), pack_runs(np.unique(flagged["at"][a:z]).astype(np.int64)))
-            if out.full():
-                yield out.take()
+def pack_flags(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
+    """Flagged runs of places: (document, first place, number of places)."""
+    return np.int64(len(doc)).tobytes() + doc.astype("<i8").tobytes() + start.astype("<u4").tobytes() + count.astype("<u4").tobytes()
+
+
+def unpack_flags(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<u4", n, 8 + 8 * n), np.frombuffer(data, "<u4", n, 8 + 12 * n)
+
+
+def as_runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Single places as runs."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order].astype(np.int64)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(new)
+    return doc[first], at[first], np.diff(np.append(first, len(doc)))
+
+
+def flag_rows(parts: list[tuple], n_buckets: int) -> list[pa.RecordBatch]:
+    """Flagged runs, dealt to the buckets of their documents."""
+    if not parts:
+        return []
+    doc, start, count = (np.concatenate(x) for x in zip(*parts))
+    bucket = (mix(doc.astype("<i8").view("<u8")) >> np.uint64(33)) % np.uint64(n_buckets)
+    order = np.lexsort((start, doc, bucket))
+    bucket, doc, start, count = bucket[order], doc[order], start[order], count[order]
+    cut = np.append(0, np.flatnonzero(np.diff(bucket)) + 1) if len(bucket) else []
+    out = Output(FLAGS)
+    for a, z in zip(cut, [*cut[1:], len(bucket)]):
+        out.add(int(bucket[a]), pack_flags(doc[a:z], start[a:z], count[a:z]))
+    return list(out.rest())
+
+
+def by_document(flags: DataFrame) -> DataFrame:
+    """(doc_id, data) out of dealt flags; data of bucket -1 is handed on without a document."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        out, parts = Output(LISTS), []
+        for bucket, data in zip(t.column("bucket").to_pylist(), t.column("data").to_pylist()):
+            if bucket < 0:
+                out.add(None, data)
+            else:
+                parts.append(unpack_flags(data))
+        if parts:
+            doc, start, count = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((start, doc))
+            doc, runs = doc[order], np.stack([start[order], count[order]], 1).astype("<u4")
+            cut = np.append(0, np.flatnonzero(np.diff(doc)) + 1) if len(doc) else []
+            for a, z in zip(cut, [*cut[1:], len(doc)]):
+                out.add(int(doc[a]), runs[a:z].tobytes())
+        return pa.Table.from_batches(list(out.rest()), LISTS)
+
+    return flags.groupBy("bucket").applyInArrow(merge, "doc_id long, data binary")
 
 
 def flagged_places(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray, np.ndarray]]], lanes: int, n_buckets: int, rule: str, hot: int = 0) -> DataFrame:
@@ -78,14 +126,12 @@ def flagged_places(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], I
     kind = _dtype(lanes)
 
     def split(batches):
-        out, flags = Output(BLOB), Output(FLAGS)
+        out = Output(BLOB)
 
         def flush(held):
             ahead, flagged = _settle(np.concatenate(held), lanes, rule)
-            for b in _flag_rows(flags, flagged):
-                yield from passed(b)
-            for b in flags.rest():
-                yield from passed(b)
+            if len(flagged):
+                out.add(int(flagged["k0"][0] >> np.uint64(33)) % n_buckets, 1, pack_flags(*as_runs(flagged["doc"], flagged["at"])))
             bucket = (ahead["k0"] >> np.uint64(33)) % np.uint64(n_buckets)
             order = np.argsort(bucket, kind="stable")
             bucket, ahead = bucket[order], ahead[order]
@@ -96,12 +142,6 @@ def flagged_places(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], I
                     yield out.take()
             yield from out.rest()
 
-        def passed(b):
-            for doc, data in zip(*(c.to_pylist() for c in b.columns)):
-                out.add(doc % n_buckets, 1, np.int64(doc).tobytes() + data)
-                if out.full():
-                    yield out.take()
-
         held, n = [], 0
         for doc, hashes, places in keys(batches):
             for a in range(0, len(places), FLUSH):
@@ -117,30 +157,25 @@ def flagged_places(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], I
         if held:
             yield from flush(held)
 
-    def settle(batches):
-        out, held = Output(FLAGS), []
-        for batch in batches:
-            for what, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist()):
-                if what:
-                    out.add(int.from_bytes(data[:8], "little", signed=True), data[8:])
-                    if out.full():
-                        yield out.take()
-                else:
-                    held.append(np.frombuffer(data, kind))
+    def settle(t: pa.Table) -> pa.Table:
+        held, parts, often = [], [], None
+        for what, data in zip(t.column("kind").to_pylist(), t.column("data").to_pylist()):
+            if what:
+                parts.append(unpack_flags(data))
+            else:
+                held.append(np.frombuffer(data, kind))
         if held:
             ahead, flagged = _settle(np.concatenate(held), lanes, rule)
-            yield from _flag_rows(out, flagged)
-            if hot and (often := ahead["k0"][ahead["times"] > hot]).size:
-                out.add(None, often.tobytes())
-        yield from out.rest()
-
-    def settle_table(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(settle(t.to_batches())), FLAGS)
+            parts.append(as_runs(flagged["doc"], flagged["at"]))
+            often = ahead["k0"][ahead["times"] > hot] if hot else None
+        out = flag_rows(parts, n_buckets)
+        if often is not None and len(often):
+            out.append(table(FLAGS, [[-1], [often.tobytes()]]))
+        return pa.Table.from_batches(out, FLAGS)
 
-    found = docs.mapInArrow(split, "bucket int, kind byte, data binary").groupBy("bucket").applyInArrow(settle_table, "doc_id long, data binary")
-    return found.groupBy("doc_id").agg(F.collect_list("data").alias("data"))
+    return by_document(docs.mapInArrow(split, "bucket int, kind byte, data binary").groupBy("bucket").applyInArrow(settle, "bucket int, data binary"))
 
 
-def unpack(blobs) -> np.ndarray:
+def unpack(data: bytes | None) -> np.ndarray:
     """Ascending distinct places of a row of ``flagged_places``."""
-    return merged_runs(blobs)
+    return np.unique(unpack_runs(data or b""))

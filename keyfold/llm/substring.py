@@ -45,8 +45,8 @@ def repeated_spans(docs: DataFrame, length: int = 20, gram: int = 8) -> DataFram
                 yield doc, np.concatenate(hashes)[first][None], at
 
     def windows(batches):
-        for doc, text, blobs in rows(batches, "doc_id", "text", "data"):
-            recurring = unpack(blobs)
+        for doc, text, runs in rows(batches, "doc_id", "text", "data"):
+            recurring = unpack(runs)
             values = [_values(text, lane) for lane in (0, 1)]
             flag = np.zeros(len(values[0]) + 1, bool)
             flag[recurring[recurring < len(flag)]] = True
@@ -76,9 +76,9 @@ def remove_repeats(docs: DataFrame, length: int = 20, gram: int = 8, id_col: str
 
     def cut(batches):
         out = Output(schema)
-        for doc, text, blobs in rows(batches, "doc_id", "text", "data"):
+        for doc, text, runs in rows(batches, "doc_id", "text", "data"):
             words = text.split()
-            starts = unpack(blobs or ())
+            starts = unpack(runs)
             a, z = intervals(starts[starts + length <= len(words)], length)
             kept, at = [], 0
             for s, e in zip(a.tolist(), z.tolist()):
@@ -92,7 +92,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, gram: int = 8, id_col: str
 
     docs = texts(docs, id_col, text_col)
     hit, clean = attach(docs, repeated_spans(docs, length, gram))
-    blank = F.lit(None).cast("array<binary>").alias("data")
+    blank = F.lit(None).cast("binary").alias("data")
     return hit.select("doc_id", "text", "data").unionByName(clean.select("doc_id", "text", blank)).mapInArrow(cut, OUT)
 
 

@@ -18,18 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import Output, attach, checkpoint, intervals, keep_ids, pack_runs, partitions_for, rows, text_bytes, texts
-from .repeats import BLOB, FLAGS, flagged_places, unpack
+from .common import Output, attach, checkpoint, intervals, is_small, keep_ids, partitions_for, rows, text_bytes, texts
+from .repeats import BLOB, FLAGS, as_runs, by_document, flag_rows, flagged_places, pack_flags, unpack, unpack_flags
 from .suffix_sort import repeated
 
 HELD_BYTES = 16 << 20
 BUCKET_BYTES = 6 << 20
 
 
-def _flagged_windows(text: bytes, blobs, length: int, gram: int):
+def _flagged_windows(text: bytes, runs, length: int, gram: int):
     """(block start, prefix hashes, places of chosen grams, starts of windows with a recurring gram)."""
     data, w = np.frombuffer(text, np.uint8), length - gram + 1
-    recurring = unpack(blobs)
+    recurring = unpack(runs)
     flag = np.zeros(len(data) + 1, bool)
     flag[recurring[recurring < len(flag)]] = True
     for a, z in R.blocks(len(data), length):
@@ -72,14 +72,12 @@ def _suffix_buckets(docs: DataFrame, hot: frozenset, n_buckets: int, length: int
                 out.add(b, 0, _pack(of))
                 if out.full():
                     yield out.take()
-            for doc, lo, n in settled:
-                out.add(doc % n_buckets, 1, np.int64(doc).tobytes() + np.array([lo, n], "<u4").tobytes())
-                if out.full():
-                    yield out.take()
+            if settled:
+                out.add(settled[0][0] % n_buckets, 1, pack_flags(*np.array(sorted(settled), np.int64).T))
             yield from out.rest()
 
-        for doc, text, blobs in rows(batches, "doc_id", "text", "data"):
-            for a, grams, at, starts in _flagged_windows(text, blobs, length, gram):
+        for doc, text, runs in rows(batches, "doc_id", "text", "data"):
+            for a, grams, at, starts in _flagged_windows(text, runs, length, gram):
                 if len(often):
                     starts = starts[~np.isin(grams[at[starts]], often)]
                     if not len(starts):
@@ -104,10 +102,10 @@ def _suffix_buckets(docs: DataFrame, hot: frozenset, n_buckets: int, length: int
         yield from flush()
 
     def sort(t: pa.Table) -> pa.Table:
-        out, by_gram, done = Output(FLAGS), {}, []
+        parts, by_gram, done = [], {}, []
         for what, data in zip(t.column("kind").to_pylist(), t.column("data").to_pylist()):
             if what:
-                out.add(int.from_bytes(data[:8], "little", signed=True), data[8:])
+                parts.append(unpack_flags(data))
                 continue
             for g, doc, lo, piece, many in _unpack(data):
                 of = by_gram.setdefault(g, {})
@@ -126,8 +124,8 @@ def _suffix_buckets(docs: DataFrame, hot: frozenset, n_buckets: int, length: int
                     texts_.append(piece)
                     owners.append(None if len(where) > 1 or where[0][2] else where[0])
         by_gram.clear()
-        for doc, lo, n in done:
-            out.add(doc, np.array([lo, n], "<u4").tobytes())
+        if done:
+            parts.append(tuple(np.array(done, np.int64).T))
         if texts_:
             sizes = np.array([len(x) for x in texts_])
             begin = np.cumsum(sizes) - sizes
@@ -135,13 +133,15 @@ def _suffix_buckets(docs: DataFrame, hot: frozenset, n_buckets: int, length: int
             ends = np.cumsum(counts)
             at = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1])
             hit = repeated(np.frombuffer(b"".join(texts_), np.uint8), at, length)
-            for owner, a, z in zip(owners, (ends - counts).tolist(), ends.tolist()):
-                if owner is not None and hit[a:z].any():
-                    out.add(owner[0], pack_runs(owner[1] + np.flatnonzero(hit[a:z])))
-        return pa.Table.from_batches(list(out.rest()), FLAGS)
+            open_ = np.array([o is not None for o in owners])
+            doc, lo = (np.array([o[i] if o else 0 for o in owners], np.int64) for i in (0, 1))
+            hit &= np.repeat(open_, counts)
+            inside = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
+            parts.append(as_runs(np.repeat(doc, counts)[hit], (np.repeat(lo, counts) + inside)[hit]))
+        return pa.Table.from_batches(flag_rows(parts, n_buckets), FLAGS)
 
-    found = docs.mapInArrow(segments, "bucket int, kind byte, data binary").groupBy("bucket").applyInArrow(sort, "doc_id long, data binary")
-    return found.groupBy("doc_id").agg(F.collect_list("data").alias("data"))
+    found = docs.mapInArrow(segments, "bucket int, kind byte, data binary").groupBy("bucket").applyInArrow(sort, "bucket int, data binary")
+    return by_document(found)
 
 
 def repeated_windows(docs: DataFrame, length: int = 200, gram: int = 32, hot: int = 50_000) -> DataFrame:
@@ -163,8 +163,8 @@ def repeated_windows(docs: DataFrame, length: int = 200, gram: int = 32, hot: in
 
     seen = checkpoint(flagged_places(docs, seeds, 1, partitions_for(total), "any", hot))
     recurring = seen.where("doc_id is not null")
-    often = frozenset(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, "<u8") for r in seen.where("doc_id is null").collect() for b in r["data"])]).tolist())
-    places = (recurring.select(F.sum(F.expr("aggregate(data, 0L, (s, x) -> s + octet_length(x))"))).first()[0] or 0) // 8
+    often = frozenset(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["data"], "<u8") for r in seen.where("doc_id is null").collect())]).tolist())
+    places = (recurring.select(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0) // 8
     with_seeds = attach(docs, recurring)[0].select("doc_id", "text", "data")
     out = _suffix_buckets(with_seeds, often, partitions_for(places * (length + w // 2), BUCKET_BYTES), length, gram)
     if not often:
@@ -172,15 +172,15 @@ def repeated_windows(docs: DataFrame, length: int = 200, gram: int = 32, hot: in
     among = np.array(sorted(often), np.uint64)
 
     def windows(batches):
-        for doc, text, blobs in rows(batches, "doc_id", "text", "data"):
-            for a, grams, at, starts in _flagged_windows(text, blobs, length, gram):
+        for doc, text, runs in rows(batches, "doc_id", "text", "data"):
+            for a, grams, at, starts in _flagged_windows(text, runs, length, gram):
                 starts = starts[np.isin(grams[at[starts]], among)]
                 if len(starts):
                     data = np.frombuffer(text, np.uint8)[a : a + len(grams) + gram - 1]
                     yield doc, np.stack([R.Prefix(R.byte_values(data, k), k).runs(starts, starts + length) for k in (0, 1)]), a + starts
 
     by_hash = flagged_places(with_seeds, windows, 2, partitions_for(total), "any")
-    return out.unionByName(by_hash).groupBy("doc_id").agg(F.flatten(F.collect_list("data")).alias("data"))
+    return out.unionByName(by_hash).groupBy("doc_id").agg(F.expr("aggregate(collect_list(data), X'', (s, x) -> concat(s, x))").alias("data"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,18 +198,18 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, hot: int
 
     # Equal texts: each of their windows occurs again, so only one of them need be searched.
     digest = checkpoint(docs.select("doc_id", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("digest")).where(F.col("n") >= length))
-    groups = digest.groupBy("digest").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where("c > 1")
-    copies = checkpoint(digest.join(groups, "digest").groupBy("doc_id").agg(F.min("first").alias("first")))
+    groups = checkpoint(digest.groupBy("digest").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where("c > 1"))
+    copies = checkpoint(digest.join(F.broadcast(groups) if is_small(groups) else groups, "digest").groupBy("doc_id").agg(F.min("first").alias("first")))
     one_each = keep_ids(docs, copies.where("doc_id <> first").select("doc_id"), "anti")
 
     def cut(batches):
         out = Output(schema)
-        for doc, text, blobs, whole in rows(batches, "doc_id", "text", "data", "whole"):
+        for doc, text, runs, whole in rows(batches, "doc_id", "text", "data", "whole"):
             if whole:
                 a = z = np.array([0, len(text)])
                 a, z = a[:1], z[1:]
             else:
-                starts = unpack(blobs or ())
+                starts = unpack(runs)
                 a, z = intervals(starts[starts + length <= len(text)], length)
             at, kept = 0, []
             for s, e in zip(a.tolist(), z.tolist()):
@@ -223,7 +223,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, hot: int
 
     whole, rest = attach(docs, copies.select("doc_id"))
     hit, clean = attach(rest, checkpoint(repeated_windows(one_each, length, gram, hot)))
-    blank, no, yes = F.lit(None).cast("array<binary>").alias("data"), F.lit(False).alias("whole"), F.lit(True).alias("whole")
+    blank, no, yes = F.lit(None).cast("binary").alias("data"), F.lit(False).alias("whole"), F.lit(True).alias("whole")
     parts = hit.select("doc_id", "text", "data", no).unionByName(clean.select("doc_id", "text", blank, no)).unionByName(whole.select("doc_id", "text", blank, yes))
     return parts.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
