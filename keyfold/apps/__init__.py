@@ -1,4 +1,6 @@
-"""Programs over the engine, each a function of (spark, folder of tables)."""
+"""Programs over the engine, each a function of (spark, folder of tables), with SQL for its rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import numeric, similar, text
+
+QUERIES = text.QUERIES | similar.QUERIES | numeric.QUERIES
+ORACLE_SQL = text.ORACLE_SQL | similar.ORACLE_SQL | numeric.ORACLE_SQL
