@@ -1,0 +1,189 @@
+"""Each operator against brute force, and on awkward and empty tables."""
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from oracle import connect, same
+from tokenizers import Tokenizer
+
+from keyfold.llm import decontamination, exact_dedup, near_dup, packing, pii, quality, sst, substring, suffix_dedup, suffix_sort, tokens, toxicity
+from keyfold.llm.queries import ORACLE_SQL, QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+IDS = [1, 2, 3, 4, 5, 6, 7, 8, 8]
+
+
+def docs_of(spark, folder=SMALL):
+    return sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect())
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    same(QUERIES[name](spark, SMALL), connect(SMALL), ORACLE_SQL[name])
+
+
+def test_near_duplicates(spark):
+    assert rows_of(QUERIES["op1_minhash_bayes"](spark, SMALL)) == near_dup.brute_force(docs_of(spark), 85)
+
+
+def test_near_duplicates_of_many_variants(spark):
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = near_dup.near_duplicates(df, near_dup.Settings(percent=85))
+    assert rows_of(got) == near_dup.brute_force(docs, 85)
+
+
+def test_seed_extend(spark):
+    assert rows_of(QUERIES["op5_seed_extend"](spark, SMALL)) == substring.brute_force(docs_of(spark))
+
+
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_suffix_array(spark, hot):
+    docs = [(i, t) for i, t in docs_of(spark) if len(t) < 6000][:80]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot)
+    got = sorted((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans)) for r in out.collect())
+    assert got == [x[:4] for x in suffix_dedup.brute_force(docs)]
+
+
+def test_suffix_sort():
+    r = random.Random(2)
+    text = np.frombuffer(("".join(r.choice("ab") for _ in range(2000)) * 2 + "a" * 300).encode(), np.uint8)
+    at = np.arange(len(text) - 40)
+    windows = [text[i : i + 40].tobytes() for i in at.tolist()]
+    assert (suffix_sort.repeated(text, at, 40) == np.array([windows.count(w) > 1 for w in windows])).all()
+    order = np.concatenate([x for x, _ in suffix_sort.sorted_blocks(text, at, 40)])
+    assert [windows[i] for i in order.tolist()] == sorted(windows)
+
+
+def test_decontamination(spark):
+    bench = [(1, "If Tom buys 12 apples and 7 pears at 3 dollars each then how many dollars does Tom spend on 12 apples in total today"), (2, "short"), (3, None)]
+    again = "foo bar If Anna buys 13 apples and 8 pears at 4 euros each then how many euros does Anna spend on 13 apples in total today, baz"
+    docs = [(1, again), (2, again.replace("on 13", "on 99")), (3, bench[0][1]), (4, None), (5, "")]
+    out = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    got = sorted((r.doc_id, r.contaminated, ",".join(map(str, r["items"])), round(r.coverage, 6)) for r in out.collect())
+    assert got == decontamination.brute_force(docs, bench)
+    assert [x[1] for x in got][:3] == [True, False, True]
+
+
+def test_base_spans(spark):
+    r = random.Random(3)
+    parts = ["1", "12", "255", "256", "0001", ".", "@", "a.b", "+", "+1", " ", "-", "(", ")", "4111111111111111", "4111 1111-1111 1111", "é", "🙂", "x@y.z", "x@y.z+q@r.s", "1.2.3.4"]
+    docs = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 30)))) for i in range(500)] + [(900, None), (901, "1" * 50_000), (902, "1 " * 50_000), (903, "a" * 50_000)]
+    got = {x.doc_id: [(s.kind, s.start, s.end) for s in x.found if s.base] for x in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: pii.brute_force(t) for i, t in docs}
+
+
+def test_added_spans(spark):
+    docs = [(1, "please call (017) 555-1234 now"), (2, "see version 12 345 678 there"), (3, "mail me: ana.lopez at example dot com today")]
+    got = {x.doc_id: [s.kind for s in x.found] for x in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: ["phone"], 2: [], 3: ["email"]}
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder(path):
+    r = random.Random(4)
+    parts = ["a", "B", "'s", "'", "22", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\x1c", "é", "Σ", "İ", "<|endoftext|>", "!", "字", "́", "🙂", "ß", "²"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(3000)] + [""]
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    assert [x.tolist() for x in tokens.Encoder(path).encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing(spark):
+    got = QUERIES["op4_best_fit"](spark, SMALL).collect()
+    plain = Tokenizer.from_file(BYTES)
+    want = {}
+    for doc, text in docs_of(spark):
+        ids = np.array(plain.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        for i, (a, n) in enumerate(packing.cut(len(ids), 2048)):
+            want[doc, i] = (a, n, zlib.crc32(ids[a : a + n].tobytes()))
+    assert want == {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got}
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in map(sorted, sequences.values()):
+        assert [a for a, _ in s] == list(np.cumsum([0, *(n for _, n in s)])[:-1]) and sum(n for _, n in s) <= 2048
+    assert len(sequences) <= -(-sum(r.length for r in got) // 2048) + 1
+
+
+def test_local_search_empties_bins():
+    lengths = [6, 6, 5, 5, 5, 3]
+    bins = packing.local_search([[0, 3], [1, 4], [2], [5]], lengths, 15)
+    assert sorted(i for b in bins for i in b) == list(range(6)) and len(bins) == 2 and all(sum(lengths[i] for i in b) <= 15 for b in bins)
+
+
+def test_shards(spark, tmp_path):
+    docs = docs_of(spark)
+    folder = f"file://{tmp_path}/sst"
+    manifest = sst.write_shards(spark.createDataFrame(docs, "doc_id long, text string"), folder, WORDS)
+    plain, want, at = Tokenizer.from_file(WORDS), [], 0
+    for doc, text in docs:
+        ids = plain.encode(text, add_special_tokens=False).ids + [1]
+        want.append((doc, at, len(ids), np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in sst.read_shards(manifest, folder).collect()) == want
+    files, _ = sst.filesystem(folder)
+    shards = [sst.Shard(files, r.path) for r in manifest.collect()]
+    for doc, _, n, _ in want[::20]:
+        assert [len(x) for s in shards if (x := s.get(doc)) is not None] == [n]
+    assert all(s.get(10**9) is None for s in shards)
+
+
+def test_classifiers_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    label = {r.doc_id: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    for name, column, least in (("op10_boosted_trees", "quality", 0.95), ("op8_nonnegative_pu", "toxic", 0.88)):
+        got = [r for r in QUERIES[name](spark, folder).collect()]
+        assert len(got) == 1000 and all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+        held = [r for r in got if r.held_out and r.doc_id in label]
+        assert np.mean([r.predicted == label[r.doc_id][column] for r in held]) >= least
+
+
+def test_awkward_tables(spark, awkward, labels, tmp_path):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (None, "x"), (2, None)], "item_id long, text string")
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(exact_dedup.groups(awkward)) == IDS
+    kept = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.groups(awkward).collect()}
+    assert kept[1] == kept[2] == kept[7] == (7, 3) and kept[3] == kept[4] == kept[5] == (5, 3)
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(awkward).collect()}
+    assert near[2] == near[7] == (6, 1) and near[3] == (0, 3) and near[5] == (0, 5) and near[6] == (1, 6)
+    assert ids(pii.find(awkward)) == IDS
+    assert ids(substring.remove_repeats(awkward)) == IDS
+    assert ids(suffix_dedup.remove_repeats(awkward)) == IDS
+    assert {r.doc_id for r in decontamination.contaminated(awkward, bench).where("contaminated").collect()} == {1, 2, 7}
+    assert ids(packing.pack_documents(awkward, BYTES).where("piece = 0")) == IDS
+    assert ids(sst.read_shards(sst.write_shards(awkward, str(tmp_path / "a"), WORDS), str(tmp_path / "a"))) == IDS
+    assert ids(quality.classify(awkward, labels)) == ids(toxicity.classify(awkward, labels)) == IDS
+
+
+def test_empty_tables(spark, empty, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for df in (
+        exact_dedup.groups(empty),
+        near_dup.near_duplicates(empty),
+        pii.find(empty),
+        substring.remove_repeats(empty),
+        suffix_dedup.remove_repeats(empty),
+        decontamination.contaminated(empty, bench),
+        packing.pack_documents(empty, BYTES),
+        sst.read_shards(sst.write_shards(empty, str(tmp_path / "e"), WORDS), str(tmp_path / "e")),
+        quality.classify(empty, none),
+        toxicity.classify(empty, none),
+    ):
+        assert df.count() == 0
