@@ -101,7 +101,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether the intersection of two sorted sets reaches ``percent`` of their union."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
-    common = len(a) + len(b) - len(np.union1d(a, b))
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
@@ -128,6 +129,20 @@ def _features(docs: DataFrame, cfg: Settings) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, hi long, lo long, sig binary, bands array<long>")
 
 
+def _sets(docs: DataFrame, cfg: Settings) -> DataFrame:
+    """(doc_id, set): the sorted shingle hashes of each text."""
+
+    def sets(batches):
+        out = Output(pa.schema([("doc_id", pa.int64()), ("set", pa.binary())]))
+        for doc, text in rows(batches, "doc_id", "text"):
+            out.add(doc, shingles(text, cfg.words).tobytes())
+            if out.full():
+                yield out.take()
+        yield from out.rest()
+
+    return docs.mapInArrow(sets, "doc_id long, set binary").dropDuplicates(["doc_id"])
+
+
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -150,14 +165,6 @@ def _verified(pairs: DataFrame, features: DataFrame, docs: DataFrame, cfg: Setti
                     yield out.take()
         yield from out.rest()
 
-    def sets(batches):
-        out = Output(pa.schema([("doc_id", pa.int64()), ("set", pa.binary())]))
-        for doc, text in rows(batches, "doc_id", "text"):
-            out.add(doc, shingles(text, cfg.words).tobytes())
-            if out.full():
-                yield out.take()
-        yield from out.rest()
-
     def both(x: DataFrame, of: DataFrame, value: str) -> DataFrame:
         for side in ("a", "b"):
             x = x.join(of.select(F.col("doc_id").alias(side), F.col(value).alias(f"{value}_{side}")), side)
@@ -165,38 +172,53 @@ def _verified(pairs: DataFrame, features: DataFrame, docs: DataFrame, cfg: Setti
 
     left = checkpoint(both(pairs, sig, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long"))
     ids = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    whole = keep_ids(docs, ids, "semi").mapInArrow(sets, "doc_id long, set binary")
+    whole = _sets(keep_ids(docs, ids, "semi"), cfg)
     return checkpoint(both(left, whole, "set").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"))
 
 
-def _across(members: DataFrame, labels: DataFrame, features: DataFrame, cfg: Settings) -> DataFrame | None:
-    """Plausible pairs that share a bucket and no component yet; None if there are no such buckets.
+def _across(members: DataFrame, labels: DataFrame, features: DataFrame, docs: DataFrame, cfg: Settings) -> DataFrame | None:
+    """Links between members of a bucket that are in no common component yet; None if no bucket has such.
 
     In a bucket, the members outside the component of most members are compared with every
-    member, one block of members at a time.
+    member, a bounded block of either at a time: signatures first, then whole sets, in place.  A pair
+    is looked at in the first band it shares only, and of a member's links to one component one
+    is returned, so the result stays small where many are alike.
     """
-    named = checkpoint(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    named = checkpoint(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    split = checkpoint(sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("parts > 1").select("key", "n", F.col("most.label").alias("most")))
+    split = checkpoint(sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("parts > 1").select("key", "n", F.col("most.label").alias("most"), (F.col("n") - F.col("most.n")).alias("others")))
     if split.isEmpty():
         return None
-    inside = named.join(split, "key").join(features.select("doc_id", "sig"), "doc_id")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    own = inside.select("key", F.pmod(F.xxhash64("doc_id", "key"), blocks).cast("int").alias("block"), F.lit(0).alias("asks"), "doc_id", "label", "sig")
-    asked = inside.where("label <> most").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("asks"), "doc_id", "label", "sig")
+    inside = checkpoint(named.join(split, "key"))
+    whole = _sets(keep_ids(docs, checkpoint(inside.select("doc_id").distinct()), "semi"), cfg)
+    inside = inside.join(features.select("doc_id", "sig").join(whole, "doc_id"), "doc_id")
+    blocks, turns = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("n", "others"))
+    dealt = F.xxhash64("doc_id", "key")
+    columns = ["doc_id", "label", "sig", "set"]
+    own = inside.select("key", "band", F.pmod(dealt, blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), F.lit(0).alias("asks"), *columns)
+    asked = inside.where("label <> most").select("key", "band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(dealt, turns).cast("int").alias("turn"), F.lit(1).alias("asks"), *columns)
 
     def compare(t: pa.Table) -> pa.Table:
         asks, doc, label = (t.column(c).to_numpy() for c in ("asks", "doc_id", "label"))
+        band = t.column("band")[0].as_py()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, cfg.hashes)
-        here, there, found = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1), []
-        for q in there.tolist():
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        by_band = sig.reshape(len(sig), cfg.bands, cfg.band_rows)
+        here, found = np.flatnonzero(asks == 0), []
+        for q in np.flatnonzero(asks == 1).tolist():
             to = here[label[here] != label[q]]
             to = to[plausible(sig[to], np.broadcast_to(sig[q], (len(to), cfg.hashes)), cfg)]
-            found.append(np.stack([np.minimum(doc[to], doc[q]), np.maximum(doc[to], doc[q])], 1))
-        a, b = np.concatenate([np.zeros((0, 2), np.int64), *found]).T
+            if len(to):
+                to = to[(by_band[to] == by_band[q]).all(2).argmax(1) == band]
+            done = set()
+            for v in to.tolist():
+                if label[v] not in done and linked(sets[q], sets[v], cfg.percent):
+                    done.add(label[v])
+                    found.append(sorted((int(doc[q]), int(doc[v]))))
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table([pa.array(a), pa.array(b)], schema=PAIR)
 
-    return own.unionByName(asked).groupBy("key", "block").applyInArrow(compare, "a long, b long").distinct()
+    return checkpoint(own.unionByName(asked).groupBy("key", "block", "turn").applyInArrow(compare, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,7 +237,7 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "
     narrow = checkpoint(narrow.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("rep")))
     features = keep_ids(features, checkpoint(narrow.where("rep <> doc_id").select("doc_id")), "anti")
 
-    rows_ = features.where("n_shingles > 0").select("doc_id", F.explode("bands").alias("key"))
+    rows_ = features.where("n_shingles > 0").select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = rows_.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = checkpoint(rows_.join(shared, "key"))
     score = members.groupBy("doc_id").agg(F.sum("c").alias("score"))
@@ -223,11 +245,9 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "
     stars = members.join(hubs, "key").where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     links = _verified(stars, features, docs, cfg)
     labels = components(links)
-    more = _across(members, labels, features, cfg)
-    if more is not None:
-        more = _verified(more, features, docs, cfg)
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    more = _across(members, labels, features, docs, cfg)
+    if more is not None and not more.isEmpty():
+        labels = components(links.union(more))
     out = narrow.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
