@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .. import functions as K
 from .. import operators as A
 from ..plans import Job, top
+from ..sources import INCREMENT, MULTIPLIER, random_words
 
 KEYS = ("the", "and", "que", "der")
 LONG = "x" * 27
+GENERATED = 4000
 
 
 def _docs(spark, d) -> DataFrame:
@@ -83,6 +85,12 @@ def word_index_total(spark, d):
     return _tokens(spark, d).agg(F.sum(F.size("t")).cast("long").alias("total"))
 
 
+def word_index_generated(spark, d):
+    """The index of generated words."""
+    out = random_words(spark, GENERATED).groupBy("word").agg(A.collected(F.col("pos")).alias("p"))
+    return out.select("word", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("positions"), F.size("p").cast("long").alias("n"))
+
+
 def _match(spark, d, literal: bool) -> DataFrame:
     words = _tokens(spark, d).select(F.explode("t").alias("w")).select(K.caesar(F.col("w")).alias("c"))
     sums = [F.sum(F.when((F.col("c") != k) if literal else (F.col("c") == K.caesar(F.lit(k))), 1).otherwise(0)).alias(k) for k in KEYS]
@@ -107,6 +115,12 @@ _WORD_COUNT = f"SELECT key, count(*) AS count FROM ({_WORDS}) GROUP BY key"
 _DIGRAM_COUNT = f"SELECT g AS key, count(*) AS count FROM ({_DIGRAMS}) GROUP BY g"
 _PLACES = f"SELECT doc_id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM ({_W})"
 _FROM, _TO = "".join(map(chr, range(33, 122))).replace("'", "''"), "".join(map(chr, range(38, 127))).replace("'", "''")
+_NEXT = lambda x: f"(({x}) * {MULTIPLIER} + {INCREMENT}) % 4294967296"
+_LETTERS = " || ".join(f"chr(CAST(65 + {x} % 2147483648 % 26 AS INTEGER))" for x in "xyz")
+_GENERATED = f"""WITH RECURSIVE g(pos, x, y, z) AS (
+  SELECT -1, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT
+  UNION ALL SELECT pos + 1, {_NEXT("z")}, {_NEXT(_NEXT("z"))}, {_NEXT(_NEXT(_NEXT("z")))} FROM g WHERE pos < {GENERATED - 1})
+SELECT word, string_agg(pos, ',' ORDER BY pos) AS positions, count(*) AS n FROM (SELECT pos, {_LETTERS} AS word FROM g WHERE pos >= 0) GROUP BY word"""
 
 ORACLE_SQL = {
     "word_count": _WORD_COUNT,
@@ -121,6 +135,7 @@ ORACLE_SQL = {
     "word_index": f"SELECT word, string_agg(doc_id || ':' || pos, ',' ORDER BY doc_id, pos) AS positions, count(*) AS n FROM ({_PLACES}) GROUP BY word",
     "word_index_counts": f"SELECT word, count(*) AS n FROM ({_PLACES}) GROUP BY word",
     "word_index_total": f"SELECT CAST(sum(len(t)) AS BIGINT) AS total FROM ({_W})",
+    "word_index_generated": _GENERATED,
     "string_match": f"SELECT k.key, count(w.key) AS count FROM {_KEYS} LEFT JOIN ({_WORDS}) w ON translate(w.key, '{_FROM}', '{_TO}') = translate(k.key, '{_FROM}', '{_TO}') GROUP BY k.key",
     "string_match_literal": f"SELECT k.key, CAST(sum(CASE WHEN translate(w.key, '{_FROM}', '{_TO}') <> k.key THEN 1 ELSE 0 END) AS BIGINT) AS count FROM {_KEYS}, ({_WORDS}) w GROUP BY k.key",
 }

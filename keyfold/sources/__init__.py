@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The congruential sequence of the generated words, modulo 2**32.
+MULTIPLIER, INCREMENT = 1103515245, 12345
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(value) for each line that isn't empty."""
@@ -61,9 +64,26 @@ def grid_points(spark: SparkSession, n: int, dim: int, grid: int) -> DataFrame:
 
 
 def random_words(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """(pos, word): words of three capitals, the same for the same seed, made in parallel."""
-    letter = lambda j: F.expr(f"char(65 + cast(pmod(xxhash64(id, {j}, {seed}), 26) as int))")
-    return spark.range(n).select(F.col("id").alias("pos"), F.concat(letter(0), letter(1), letter(2)).alias("word"))
+    """(pos, word): words of three capitals, drawn one after another from a congruential sequence.
+
+    Each row jumps to its own place in the sequence by squared steps, so any part is made anywhere.
+    """
+    jumps, a, c = [], MULTIPLIER, INCREMENT
+    for bit in range(32):  # the sequence repeats after 2**32
+        jumps.append(F.struct(*(F.lit(v).cast("bigint").alias(k) for k, v in (("bit", 1 << bit), ("low", a & 0xFFFF), ("high", a >> 16), ("add", c)))))
+        a, c = a * a % 2**32, (a * c + c) % 2**32
+
+    def jump(x, j, steps):
+        # in halves, as a product of two 32-bit numbers is more than a long holds
+        moved = x * j["low"] + (x * j["high"]).bitwiseAND(F.lit(0xFFFF)) * 65536 + j["add"]
+        return F.when(steps.bitwiseAND(j["bit"]) != 0, moved.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(x)
+
+    def letter(k):
+        steps = F.col("id") * 3 + k
+        x = F.aggregate(F.array(*jumps), F.lit(seed).cast("bigint"), lambda x, j: jump(x, j, steps))
+        return F.char(x.bitwiseAND(F.lit(0x7FFFFFFF)) % 26 + 65)
+
+    return spark.range(n).select(F.col("id").alias("pos"), F.concat(letter(1), letter(2), letter(3)).alias("word"))
 
 
 def random_matrix(spark: SparkSession, rows: int, cols: int, grid: int, seed: int = 42) -> DataFrame:
