@@ -45,8 +45,9 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def is_small(ids: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has few enough rows to broadcast; counts no further than the limit."""
-    return ids.limit(limit + 1).count() <= limit
+    """Whether a table has few enough rows to broadcast.  Counted whole: a limit would bring every
+    task's rows to a single one.  Callers hand over tables that are cheap to read again."""
+    return ids.count() <= limit
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
-from .common import Output, keep_ids, rows, texts
+from .common import Output, checkpoint, keep_ids, rows, texts
 from .labelled import held_out, training_rows
 
 #: Most labelled rows that training reads.
@@ -95,7 +95,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold:
 
 def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those the classifier rejects; columns as they were."""
-    gone = classify(docs, labels).where("predicted = 0").select("doc_id")
+    gone = checkpoint(classify(docs, labels).where("predicted = 0").select("doc_id"))
     return keep_ids(docs, gone, "anti").select(*docs.columns)
 
 

@@ -49,6 +49,21 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
+def settle(files: pa.fs.FileSystem, name: str, final: str) -> None:
+    """Give a finished file its final name; where an earlier attempt left the same file, that one stays."""
+
+    def there() -> bool:
+        return files.get_file_info(final).type != pa.fs.FileType.NotFound
+
+    if not there():
+        try:
+            return files.move(name, final)
+        except OSError:
+            if not there():
+                raise
+    files.delete_file(name)
+
+
 def key_of(doc_id: int) -> int:
     return doc_id + (1 << 63)
 
@@ -180,7 +195,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         def done():
             writer.close()
             final = f"{root}/shard-{part:06d}-{len(out.columns[0]):04d}.sst"
-            files.move(name, final)
+            settle(files, name, final)
             out.add(final, first, len(writer.keys), writer.ids)
 
         for doc, ids in encoded(batches, tokenizer):
