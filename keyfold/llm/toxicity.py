@@ -3,7 +3,8 @@
 Confirmed toxic texts are the positives; everything else, labelled or not, is unlabelled.  With
 class prior p the risk of a scorer is p E+[l(+)] + max(0, Eu[l(-)] - p E+[l(-)]): the second part
 estimates the risk on negatives from unlabelled text, and is kept from turning negative, which is
-where such learners overfit.  The scorer is linear in the distinct words of a text.
+where such learners overfit.  The scorer is linear in the distinct words of a text and their stems,
+so that it also knows an inflected or compound word that no training text held.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ from .labelled import held_out, training_rows
 POSITIVES, UNLABELLED = 8_000, 16_000
 #: A word is a feature if so many training texts hold it.
 LEAST_TEXTS = 5
+#: Bytes of a longer word that make its stems.
+STEMS = (5, 7)
 THRESHOLD = 0.5
 
+#: Tells a stem from a word of the same letters.
+_STEM = np.uint64(0x5851F42D4C957F2D)
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[65:91] = _LETTER[128:] = True
 
 
 def word_set(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's runs of letters, A-Z lower-cased."""
+    """Sorted distinct 64-bit hashes of a text's runs of letters and of their stems, A-Z lower-cased."""
     data = R.LOWER[np.frombuffer(text, np.uint8)]
     solid = np.zeros(len(data) + 2, np.int8)
     solid[1:-1] = _LETTER[data]
@@ -36,11 +41,23 @@ def word_set(text: bytes) -> np.ndarray:
     out = [np.zeros(0, np.uint64)]
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     for i in range(0, len(starts), 1 << 18):
-        a, z = starts[i], ends[min(i + (1 << 18), len(ends)) - 1]
-        out.append(np.unique(R.word_values(data[a:z], starts[i : i + (1 << 18)] - a, ends[i : i + (1 << 18)] - a)))
+        s, e = starts[i : i + (1 << 18)], ends[i : i + (1 << 18)]
+        letters = R.Prefix(R.byte_values(data[s[0] : e[-1]]))
+        s, e = s - s[0], e - s[0]
+        out.append(np.unique(letters.runs(s, e)))
+        for n in STEMS:
+            at = s[e - s > n]
+            out.append(np.unique(letters.runs(at, at + n) ^ _STEM))
     return np.unique(np.concatenate(out))
 
 
+def known_in(sorted_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` are among the sorted ones."""
+    if not len(sorted_hashes):
+        return np.zeros(len(hashes), bool)
+    return sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)] == hashes
+
+
 class Words:
     """A linear scorer: sorted word hashes, their weights, a bias."""
 
@@ -118,10 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     total, bad = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     prior = min(0.9, max(0.001, bad / total)) if total else 0.01
 
-    def words(batches):
+    def words(batches, among=None):
         out = Output(schema)
         for doc, text in rows(batches, "doc_id", "text"):
-            out.add(doc, word_set(text).tobytes())
+            found = word_set(text)
+            out.add(doc, (found if among is None else found[known_in(among, found)]).tobytes())
             if out.full():
                 yield out.take()
         yield from out.rest()
@@ -129,7 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     pos = training_rows(docs, toxic, "toxic", positives).select("doc_id", "text")
     ids = texts(docs).select("doc_id").where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
     got = [(1, r) for r in pos.mapInArrow(words, "doc_id long, words binary").collect()]
-    got += [(0, r) for r in texts(docs).join(F.broadcast(ids), "doc_id").mapInArrow(words, "doc_id long, words binary").collect()]
+    # Words that no positive text holds are no features, so they aren't brought here.
+    among = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["words"], np.uint64) for _, r in got)]))
+    got += [(0, r) for r in texts(docs).join(F.broadcast(ids), "doc_id").mapInArrow(lambda b: words(b, among), "doc_id long, words binary").collect()]
     got.sort(key=lambda x: (x[0], x[1]["doc_id"], x[1]["words"]))
     return fit([np.frombuffer(r["words"], np.uint64) for _, r in got], np.array([k for k, _ in got], bool), prior)
 
