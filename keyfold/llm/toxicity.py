@@ -51,11 +51,12 @@ def word_set(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def known_in(sorted_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which of ``hashes`` are among the sorted ones."""
-    if not len(sorted_hashes):
-        return np.zeros(len(hashes), bool)
-    return sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)] == hashes
+def columns_of(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Where in a sorted vocabulary those of ``words`` stand that it holds."""
+    if not len(vocabulary):
+        return np.zeros(0, np.int32)
+    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    return at[vocabulary[at] == words].astype(np.int32)
 
 
 class Words:
@@ -65,10 +66,7 @@ class Words:
         self.hashes, self.weights, self.bias = hashes, weights, bias
 
     def score(self, words: np.ndarray) -> float:
-        if not len(self.hashes):
-            return float(1 / (1 + np.exp(-self.bias)))
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        margin = self.bias + self.weights[at[self.hashes[at] == words]].sum()
+        margin = self.bias + self.weights[columns_of(self.hashes, words)].sum()
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
@@ -94,23 +92,22 @@ def _descend(column: np.ndarray, owner: np.ndarray, n_words: int, positive: np.n
     return w, bias
 
 
-def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l1: float = 1.5e-4) -> Words:
-    """A linear scorer from positive and unlabelled sets of words.
+def fit(vocabulary: np.ndarray, columns: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l1: float = 1.5e-4) -> Words:
+    """A linear scorer from positive and unlabelled texts, each a row of places in ``vocabulary``.
 
-    Words that no positive text holds are no features, and shrinkage leaves few of the others.
-    Shrunk weights underrate positives, so the bias is set last, by the class prior: about that
-    share of the unlabelled texts reaches one half.
+    The vocabulary are the words of positive texts, for others would get no weight; shrinkage
+    leaves few of them.  Shrunk weights underrate positives, so the bias is set last, by the class
+    prior: about that share of the unlabelled texts reaches one half.
     """
     none = Words(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not positive.any() or positive.all():
         return none
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    vocabulary, column, texts_with = np.unique(flat, return_inverse=True, return_counts=True)
-    used = (texts_with >= LEAST_TEXTS) & (np.bincount(column, positive[owner], len(vocabulary)) > 0)
+    column, owner = np.concatenate(columns), np.repeat(np.arange(len(columns), dtype=np.int32), [len(c) for c in columns])
+    used = np.bincount(column, minlength=len(vocabulary)) >= LEAST_TEXTS
     if not used.any():
         return none
     keep = used[column]
-    vocabulary, column, owner = vocabulary[used], (np.cumsum(used) - 1)[column[keep]], owner[keep]
+    column, owner, vocabulary = (np.cumsum(used, dtype=np.int32) - np.int32(1))[column[keep]], owner[keep], vocabulary[used]
     weights, _ = _descend(column, owner, len(vocabulary), positive, prior, steps, rate, l1)
     margin = np.bincount(owner, weights[column], len(positive))[~positive]
     return Words(vocabulary[weights != 0], weights[weights != 0], -_cut(margin, prior))
@@ -139,19 +136,19 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         out = Output(schema)
         for doc, text in rows(batches, "doc_id", "text"):
             found = word_set(text)
-            out.add(doc, (found if among is None else found[known_in(among, found)]).tobytes())
+            out.add(doc, (found if among is None else columns_of(among, found)).tobytes())
             if out.full():
                 yield out.take()
         yield from out.rest()
 
+    # The words of positive texts first: of the others' words, only places in that vocabulary are brought here.
     pos = training_rows(docs, toxic, "toxic", positives).select("doc_id", "text")
+    sets = [np.frombuffer(x, np.uint64) for _, x in sorted(map(tuple, pos.mapInArrow(words, "doc_id long, words binary").collect()))]
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]))
     ids = texts(docs).select("doc_id").where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
-    got = [(1, r) for r in pos.mapInArrow(words, "doc_id long, words binary").collect()]
-    # Words that no positive text holds are no features, so they aren't brought here.
-    among = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["words"], np.uint64) for _, r in got)]))
-    got += [(0, r) for r in texts(docs).join(F.broadcast(ids), "doc_id").mapInArrow(lambda b: words(b, among), "doc_id long, words binary").collect()]
-    got.sort(key=lambda x: (x[0], x[1]["doc_id"], x[1]["words"]))
-    return fit([np.frombuffer(r["words"], np.uint64) for _, r in got], np.array([k for k, _ in got], bool), prior)
+    others = texts(docs).join(F.broadcast(ids), "doc_id").mapInArrow(lambda b: words(b, vocabulary), "doc_id long, words binary").collect()
+    columns = [columns_of(vocabulary, x) for x in sets] + [np.frombuffer(x, np.int32) for _, x in sorted(map(tuple, others))]
+    return fit(vocabulary, columns, np.arange(len(columns)) < len(sets), prior)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
