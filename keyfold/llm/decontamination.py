@@ -3,7 +3,8 @@
 Numbers, names and units of a text become typed placeholders; windows of template words are hashed
 and joined with those of the benchmark.  A document whose windows follow an item's is checked slot
 by slot: a value of the item must stand for one value of the document throughout, so the question
-may have been asked anew with other numbers or names, but not by chance.
+may have been asked anew with other numbers or names, but not by chance.  A window also counts
+where its plain words are the document's, whatever their case, line breaks and placeholders.
 """
 
 from __future__ import annotations
@@ -31,31 +32,36 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _BETWEEN), lambda w: w != "")
 
 
+def _fold(text: Column) -> Column:
+    """Lower case, with ``ss`` for ``ß``, which has no single upper-case letter."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def plain_words(text: Column) -> Column:
     """Lower-cased words with their numbers, names and units; the same places as in the template."""
-    return _words(F.lower(F.replace(text, F.lit("§"), F.lit("$"))))
+    return _words(_fold(F.replace(text, F.lit("§"), F.lit("$"))))
 
 
 def template_words(text: Column) -> Column:
     """Lower-cased words with ``§num``, ``§name`` and ``§unit`` in place of values."""
     t = F.regexp_replace(F.replace(text, F.lit("§"), F.lit("$")), _NAME, "§name")
     t = F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, _NUMBER, "§num"), _UNIT, "§unit")).otherwise(t)
-    return _words(F.lower(t))
+    return _words(_fold(t))
 
 
-def _with_hashes(df: DataFrame, words: Column, k: int) -> DataFrame:
-    """``df`` with ``hashes``: one of each run of ``k`` words (a power of two), by doubling.
+def _with_hashes(df: DataFrame, words: Column, k: int, name: str = "hashes") -> DataFrame:
+    """``df`` with ``name``: one hash of each run of ``k`` words (a power of two), by doubling.
 
     A projection for each step: an expression that stands in one twice would be computed twice.
     For the same reason the hashes are exploded by an outer generator, under which the optimiser
     pushes no filter on them; rows without a hash go at the join.
     """
     rest, have = df.columns, 1
-    out = df.withColumn("hashes", words).withColumn("hashes", F.transform("hashes", lambda w: F.xxhash64(w)))
+    out = df.withColumn(name, words).withColumn(name, F.transform(name, lambda w: F.xxhash64(w)))
     while have < k:
-        n = F.greatest(F.size("hashes") - have, F.lit(0))
-        step = F.zip_with(F.slice("hashes", F.lit(1), n), F.slice("hashes", F.lit(have + 1), n), lambda a, b: F.xxhash64(a, b))
-        out = out.select(*rest, step.alias("hashes"))
+        n = F.greatest(F.size(name) - have, F.lit(0))
+        step = F.zip_with(F.slice(name, F.lit(1), n), F.slice(name, F.lit(have + 1), n), lambda a, b: F.xxhash64(a, b))
+        out = out.select(*rest, step.alias(name))
         have *= 2
     return out
 
@@ -64,22 +70,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, coverag
     """(doc_id, contaminated, items, coverage) for each row of ``docs``.
 
     ``items`` are the ids, ascending, of benchmark items of whose windows the document holds at
-    least ``coverage``, in alignments with consistent slots; ``coverage`` is the largest share
-    found.  Null and empty texts hold nothing; items of fewer than ``k`` words have no windows
+    least ``coverage``, by their plain words or, in alignments with consistent slots, by their
+    template; ``coverage`` is the largest share found.  Null and empty texts hold nothing; items of fewer than ``k`` words have no windows
     and match nothing; items with the same text match alike; rows that share an identifier share
     a result; rows without identifier are left out.
     """
     docs = texts(docs, id_col, text_col)
     items = texts(benchmark, "item_id", "text").groupBy("doc_id").agg(F.max("text").alias("text")).select(F.col("doc_id").alias("item_id"), template_words(F.col("text")).alias("template"), plain_words(F.col("text")).alias("plain"))
     literal = F.size(F.filter(F.slice("template", F.col("at") + 1, k), lambda w: ~w.startswith("§")))
-    windows = _with_hashes(items, F.col("template"), k).select("item_id", "template", "plain", F.posexplode_outer("hashes").alias("at", "hash")).withColumn("literal", literal)
+    items = _with_hashes(_with_hashes(items, F.col("template"), k, "forms"), F.col("plain"), k, "words")
+    windows = items.select("item_id", "template", "plain", F.posexplode_outer(F.arrays_zip("forms", "words")).alias("at", "hash")).withColumn("literal", literal)
     slots = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.element_at("template", F.col("at") + i + 1).contains("§"))
-    windows = checkpoint(windows.where(F.col("literal") >= LITERAL).select("item_id", "at", "hash", slots.alias("slots"), F.transform(slots, lambda i: F.element_at("plain", F.col("at") + i + 1)).alias("values")))
+    windows = checkpoint(windows.where(F.col("literal") >= LITERAL).select("item_id", "at", "hash.forms", "hash.words", slots.alias("slots"), F.transform(slots, lambda i: F.element_at("plain", F.col("at") + i + 1)).alias("values")))
     sizes = windows.groupBy("item_id").agg(F.count("*").alias("windows"))
 
-    small = is_small(windows)
-    keys = windows.select("item_id", "at", "hash", F.size("slots").alias("n_slots"))
-    seen = _with_hashes(docs.select("doc_id", "text"), template_words(F.col("text")), k).select("doc_id", F.posexplode_outer("hashes").alias("place", "hash"))
+    # Plain words have no placeholder, so a window equals one of the same form, or is the same in both.
+    keys = windows.select("item_id", "at", F.col("forms").alias("hash"), F.size("slots").alias("n_slots"))
+    keys = keys.unionByName(windows.where("forms <> words").select("item_id", "at", F.col("words").alias("hash"), F.lit(0).alias("n_slots")))
+    small = is_small(keys)
+    seen = _with_hashes(_with_hashes(docs.select("doc_id", "text"), template_words(F.col("text")), k, "forms"), plain_words(F.col("text")), k, "words")
+    other = F.zip_with("forms", "words", lambda a, b: F.when(a != b, b))
+    seen = seen.select("doc_id", F.greatest(F.size("forms"), F.lit(1)).alias("n"), F.concat("forms", other).alias("hashes"))
+    seen = seen.select("doc_id", "n", F.posexplode_outer("hashes").alias("place", "hash")).withColumn("place", F.col("place") % F.col("n"))
     hits = checkpoint(seen.join(F.broadcast(keys) if small else keys, "hash").select("doc_id", "place", "item_id", "at", "n_slots", (F.col("place") - F.col("at")).alias("shift")))
 
     # Slot values of the documents that need them: a value of the item stands for one of the document.
@@ -88,7 +100,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, coverag
     values = windows.where(F.size("slots") > 0).select("item_id", "at", F.explode(F.arrays_zip("slots", "values")).alias("slot"))
     pairs = asked.join(values, ["item_id", "at"]).join(with_text, "doc_id").select("doc_id", "item_id", "shift", F.col("slot.values").alias("value"), F.get("plain", F.col("place") + F.col("slot.slots")).alias("found")).distinct()
     odd = pairs.groupBy("doc_id", "item_id", "shift", "value").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "item_id", "shift").distinct()
-    good = hits.join(odd, ["doc_id", "item_id", "shift"], "left_anti")
+    good = asked.join(odd, ["doc_id", "item_id", "shift"], "left_anti").select("doc_id", "item_id", "at")
+    good = good.unionByName(hits.where("n_slots = 0").select("doc_id", "item_id", "at"))
 
     share = good.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n")).join(F.broadcast(sizes) if small else sizes, "item_id")
     share = share.select("doc_id", "item_id", (F.col("n") / F.col("windows")).alias("share"))
@@ -119,9 +132,9 @@ def brute_force(docs: list[tuple[int, str]], benchmark: list[tuple[int, str]], k
         text = (text or "").replace("§", "$")
         t = regex.sub(r"(?<=[\p{Ll},;:] )\p{Lu}\p{L}*+", "§name", text)
         t = regex.sub(r"(?<=§num )(?:%s)(?![\p{L}\p{N}])" % "|".join(UNITS.split()), "§unit", regex.sub(_NUMBER, "§num", t))
-        return [[w for w in regex.split(_BETWEEN, x.lower()) if w] for x in (t, text)]
+        return [[w for w in regex.split(_BETWEEN, x.lower().replace("ß", "ss")) if w] for x in (t, text)]
 
-    index, sizes = {}, {}
+    index, words, sizes = {}, {}, {}
     for item, text in benchmark:
         t, p = both(text)
         for at in range(len(t) - k + 1):
@@ -129,10 +142,11 @@ def brute_force(docs: list[tuple[int, str]], benchmark: list[tuple[int, str]], k
             if sum(not x.startswith("§") for x in w) >= LITERAL:
                 sizes[item] = sizes.get(item, 0) + 1
                 index.setdefault(w, []).append((item, at, [(i, p[at + i]) for i in range(k) if "§" in w[i]]))
+                words.setdefault(tuple(p[at : at + k]), []).append((item, at))
     out = []
     for doc, text in docs:
         t, p = both(text)
-        held, meant, odd = {}, {}, set()
+        held, meant, odd, found = {}, {}, set(), {}
         for place in range(len(t) - k + 1):
             for item, at, slots in index.get(tuple(t[place : place + k]), ()):
                 held.setdefault((item, place - at), set()).add(at)
@@ -140,7 +154,8 @@ def brute_force(docs: list[tuple[int, str]], benchmark: list[tuple[int, str]], k
                     key = (item, place - at)
                     if meant.setdefault((*key, value), p[place + i]) != p[place + i]:
                         odd.add(key)
-        found: dict = {}
+            for item, at in words.get(tuple(p[place : place + k]), ()):
+                found.setdefault(item, set()).add(at)
         for (item, shift), ats in held.items():
             if (item, shift) not in odd:
                 found.setdefault(item, set()).update(ats)

@@ -80,6 +80,20 @@ def test_decontamination(spark):
     assert [x[1] for x in got][:3] == [True, False, True]
 
 
+def test_decontamination_in_another_case_or_wrapping(spark):
+    item = "In the year 1999, Maria Lopez sold 12 boxes to Peter, Anna and Karl, who kept 7 of them, while Maria, Anna and Straße Karl gave 3 away"
+    docs = [(1, item.upper()), (2, item.lower()), (3, item.replace(" ", "\n  ")), (4, item.title()), (5, "nothing of it"), (6, item), (7, f"so said {item.swapcase()} again")]
+    out = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    got = sorted((r.doc_id, r.contaminated, ",".join(map(str, r["items"])), round(r.coverage, 6)) for r in out.collect())
+    assert got == decontamination.brute_force(docs, [(1, item)])
+    assert [x[0] for x in got if x[3] == 1.0] == [1, 2, 3, 4, 6, 7] and not got[4][1]
+
+
+def test_decontamination_equals_brute_force(spark):
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    assert rows_of(QUERIES["op6_template_join"](spark, SMALL)) == decontamination.brute_force(docs_of(spark), bench)
+
+
 def test_base_spans(spark):
     r = random.Random(3)
     parts = ["1", "12", "255", "256", "0001", ".", "@", "a.b", "+", "+1", " ", "-", "(", ")", "4111111111111111", "4111 1111-1111 1111", "é", "🙂", "x@y.z", "x@y.z+q@r.s", "1.2.3.4"]
