@@ -94,6 +94,47 @@ def covariance_upper(spark, d):
     return covariance(_matrix(spark, d))
 
 
+def _whole(spark, d) -> DataFrame:
+    """(row, v): every row and component of the embeddings as integers."""
+    t = spark.read.parquet(f"{d}/embeddings.parquet")
+    return t.select(F.col("vec_id").cast("bigint").alias("row"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("bigint")).alias("v"))
+
+
+def transposed(cells: DataFrame) -> DataFrame:
+    return cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+
+
+def column_covariance(rows: DataFrame) -> DataFrame:
+    """``covariance`` of the transposed matrix from sums alone, so that its rows, the places of v, may be of any length."""
+    sums = cells(rows).groupBy("j").agg(F.sum("v").alias("s"), F.count("*").alias("n")).withColumn("mean", F.expr("s div n"))
+    a, b = sums.select(F.col("j").alias("i"), F.col("s").alias("sa"), F.col("mean").alias("ma"), "n"), sums.select("j", F.col("s").alias("sb"), F.col("mean").alias("mb"))
+    divisor = sums.agg((F.count("*") - 1).alias("m"))
+    pairs = rows.select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
+    dots = pairs.groupBy(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    return dots.join(a, "i").join(b, "j").crossJoin(F.broadcast(divisor)).select("i", "j", F.expr("(v - mb * sa - ma * sb + n * ma * mb) div m").alias("cov"))
+
+
+def matmul_whole(spark, d):
+    """E'E over every row and component."""
+    m = cells(_whole(spark, d))
+    return product(transposed(m), m)
+
+
+def matmul_blocked_whole(spark, d):
+    m = cells(_whole(spark, d))
+    return blocked_product(transposed(m), m, 16)
+
+
+def row_mean_whole(spark, d):
+    """The mean of every row, over all its components."""
+    return means(_whole(spark, d))
+
+
+def covariance_upper_whole(spark, d):
+    """Covariance of the components over every row."""
+    return column_covariance(_whole(spark, d))
+
+
 def assign(points: DataFrame, centres: list[list[int]]) -> DataFrame:
     """``points`` (id, v) with k, the nearest centre, the first of equals; the centres are literals, few by definition."""
     each = [F.struct(K.squared_distance(F.col("v"), F.array(*(F.lit(x).cast("bigint") for x in c))).alias("dist"), F.lit(k).cast("bigint").alias("k")) for k, c in enumerate(centres)]
@@ -184,4 +225,14 @@ ORACLE_SQL = {
     "kmeans_fit": f"{_START}, c1 AS ({_moved('c0')}), c2 AS ({_moved('c1')}), c3 AS ({_moved('c2')}) SELECT k, count(*) AS n FROM ({_assigned('c3')}) GROUP BY k",
     "kmeans_grid": "SELECT CAST(j AS BIGINT) AS pos, CAST(sum((i * j) % 40 + 1) AS BIGINT) AS total FROM range(5000) a(i), range(10) b(j) GROUP BY 1",
 }
+_WHOLE = "SELECT CAST(vec_id AS BIGINT) AS row, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 100) AS BIGINT)) AS v FROM embeddings"
+_CELLS = f"SELECT row AS i, CAST(unnest(range(len(v))) AS BIGINT) AS j, unnest(v) AS v FROM ({_WHOLE})"
+_GRAM = f"WITH c AS MATERIALIZED ({_CELLS}) SELECT a.j AS i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM c a JOIN c b ON a.i = b.i GROUP BY a.j, b.j"
+_COLUMNS = f"WITH c AS MATERIALIZED ({_CELLS}), m AS (SELECT j, CAST(trunc(sum(v) / count(*)) AS BIGINT) AS mean FROM c GROUP BY j), z AS MATERIALIZED (SELECT c.i, c.j, c.v - m.mean AS x FROM c JOIN m ON m.j = c.j)"
+ORACLE_SQL |= {
+    "matmul_whole": _GRAM,
+    "matmul_blocked_whole": _GRAM,
+    "row_mean_whole": f"SELECT row, CAST(trunc(list_sum(v) / len(v)) AS BIGINT) AS mean FROM ({_WHOLE})",
+    "covariance_upper_whole": f"{_COLUMNS} SELECT a.j AS i, b.j, CAST(trunc(sum(a.x * b.x) / (SELECT count(*) - 1 FROM m)) AS BIGINT) AS cov FROM z a JOIN z b ON a.i = b.i AND a.j <= b.j GROUP BY a.j, b.j",
+}
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

@@ -1,7 +1,9 @@
 """Sources, tokenizers, merges, sinks and the stream on rows written by hand."""
 
+import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -124,6 +126,27 @@ def test_generated_points_and_matrix(spark):
     assert numeric.covariance(m).count() == 4 * 5 // 2
 
 
+def test_whole_matrices_hold_every_row_and_component(spark):
+    folder = "/root/testdata/sf0.001"
+    vectors = {r.vec_id: [math.floor(x * 100) for x in r.embedding] for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+    e = np.array([vectors[i] for i in sorted(vectors)])
+    cut = lambda x, n: int(abs(x) // n) * (1 if x >= 0 else -1)
+    g = e.T @ e
+    want = sorted(((i, j, int(g[i, j])) for i in range(64) for j in range(64)), key=repr)
+    assert rows_of(numeric.matmul_whole(spark, folder)) == rows_of(numeric.matmul_blocked_whole(spark, folder)) == want
+    assert rows_of(numeric.row_mean_whole(spark, folder)) == sorted(((i, cut(sum(v), 64)) for i, v in vectors.items()), key=repr)
+    z = e - np.array([cut(x, len(e)) for x in e.sum(0)])
+    c = z.T @ z
+    assert rows_of(numeric.covariance_upper_whole(spark, folder)) == sorted(((i, j, cut(c[i, j], 63)) for i in range(64) for j in range(i, 64)), key=repr)
+
+
+def test_column_covariance_is_covariance_of_the_transposed(spark):
+    m = [(i, [(i * 7 + j * 5) % 11 - 4 for j in range(9)]) for i in range(4)]
+    turned = [(j, [v[j] for _, v in m]) for j in range(9)]
+    df, of = (spark.createDataFrame(x, "row long, v array<long>") for x in (m, turned))
+    assert rows_of(numeric.column_covariance(of)) == rows_of(numeric.covariance(df))
+
+
 def test_row_means_truncate(spark):
     df = spark.createDataFrame([(1, [-7, 0]), (2, [3, 4])], "row long, v array<long>")
     assert rows_of(numeric.means(df)) == [(1, -3), (2, 3)]
