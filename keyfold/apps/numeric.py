@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,14 +151,23 @@ def step(points: DataFrame, centres: list[list[int]]) -> list[list[int]]:
     return new
 
 
-def kmeans(points: DataFrame, k: int, most_rounds: int = 100) -> list[list[int]]:
-    """Centres, from the first ``k`` points, until no point changes its centre or the rounds are over."""
+def kmeans(points: DataFrame, k: int, most_rounds: int | None = None) -> list[list[int]]:
+    """Centres, from the first ``k`` points, until no point changes its centre.
+
+    ``most_rounds`` ends it earlier, with a warning.  Truncated means could in principle return to earlier
+    centres; that would go on for ever and is an error.
+    """
     centres = [r["v"] for r in points.orderBy("id").limit(k).collect()]
-    for _ in range(most_rounds):
+    seen = set()
+    while most_rounds is None or len(seen) < most_rounds:
         new = step(points, centres)
         if new == centres:
-            break
+            return centres
+        seen.add(str(centres))
+        if str(new) in seen:
+            raise ValueError(f"k-means returns to earlier centres after {len(seen)} rounds")
         centres = new
+    warnings.warn(f"k-means ended after {most_rounds} rounds without having converged", stacklevel=2)
     return centres
 
 
@@ -180,11 +191,17 @@ def kmeans_step(spark, d):
 
 
 def kmeans_fit(spark, d):
-    """Sizes of the clusters after a few rounds."""
+    """Sizes of the clusters after ROUNDS rounds, as many as its SQL unrolls; not converged."""
     points = _vectors(spark, d)
     return assign(points, kmeans(points, CLUSTERS, ROUNDS)).groupBy("k").agg(A.count().alias("n"))
 
 
+def kmeans_fit_converged(spark, d):
+    """Sizes of the clusters once no point changes its centre."""
+    points = _vectors(spark, d)
+    return assign(points, kmeans(points, CLUSTERS)).groupBy("k").agg(A.count().alias("n"))
+
+
 def kmeans_grid(spark, d):
     """The generated grid of the clustering program."""
     from ..sources import grid_points
@@ -236,3 +253,5 @@ ORACLE_SQL |= {
     "covariance_upper_whole": f"{_COLUMNS} SELECT a.j AS i, b.j, CAST(trunc(sum(a.x * b.x) / (SELECT count(*) - 1 FROM m)) AS BIGINT) AS cov FROM z a JOIN z b ON a.i = b.i AND a.j <= b.j GROUP BY a.j, b.j",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
+#: Without SQL, since the number of rounds isn't known beforehand; compared with brute force in the tests.
+WITHOUT_SQL = {"kmeans_fit_converged": kmeans_fit_converged}

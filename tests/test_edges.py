@@ -126,6 +126,41 @@ def test_generated_points_and_matrix(spark):
     assert numeric.covariance(m).count() == 4 * 5 // 2
 
 
+def lloyd(x, k):
+    """Centres and sizes once no point changes its centre, and the rounds it took."""
+    centres, held, rounds = x[:k].copy(), None, 0
+    while True:
+        near = ((x[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+        if held is not None and (near == held).all():
+            return centres.tolist(), np.bincount(near, minlength=k).tolist(), rounds
+        held, rounds = near, rounds + 1
+        for c in range(k):
+            if (near == c).any():
+                s = x[near == c].sum(0)
+                centres[c] = np.sign(s) * (abs(s) // (near == c).sum())
+
+
+def test_kmeans_fit_converges(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect())
+    x = np.array([[math.floor(v * 1000) for v in e] for _, e in rows])
+    _, sizes, rounds = lloyd(x, 4)
+    assert rounds > numeric.ROUNDS
+    got = numeric.kmeans_fit_converged(spark, folder).collect()
+    assert [n for _, n in sorted(map(tuple, got))] == sizes
+
+
+def test_kmeans_has_no_limit_of_rounds_unless_asked(spark, monkeypatch):
+    monkeypatch.setattr(numeric, "step", lambda points, centres: [[min(centres[0][0] + 1, 250)]])
+    points = spark.createDataFrame([(0, [0])], "id long, v array<long>")
+    assert numeric.kmeans(points, 1) == [[250]]
+    with pytest.warns(UserWarning, match="without having converged"):
+        assert numeric.kmeans(points, 1, 100) == [[100]]
+    monkeypatch.setattr(numeric, "step", lambda points, centres: [[1 - centres[0][0]]])
+    with pytest.raises(ValueError, match="earlier centres"):
+        numeric.kmeans(points, 1)
+
+
 def test_whole_matrices_hold_every_row_and_component(spark):
     folder = "/root/testdata/sf0.001"
     vectors = {r.vec_id: [math.floor(x * 100) for x in r.embedding] for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
