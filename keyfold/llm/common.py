@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A broadcast never holds more than so many rows of one or two long columns; more rows are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: A broadcast never holds more bytes than this; larger tables are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Beyond a broadcast, a key with more rows than this is joined apart from the others.
+HEAVY_ROWS = 4096
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,10 +22,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a local session gets a temporary folder; on a cluster, whose machines
+    would not share it, that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     have = spark.sparkContext.getCheckpointDir()
     if not have:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         have = spark.sparkContext.getCheckpointDir()
     return named or have
@@ -35,37 +43,75 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate files, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions_for(n_bytes: int | None, per: int = 16 << 20) -> int:
-    """Buckets for so many bytes of text."""
+    """Parts for so many bytes of text."""
     return max(1, -(-int(n_bytes or 0) // per))
 
 
+def buckets_for(spark: SparkSession, n_bytes: int | None, per: int = 16 << 20) -> int:
+    """Buckets for so many bytes: enough to bound each, and where there is work, two for each core."""
+    return max(partitions_for(n_bytes, per), min(2 * spark.sparkContext.defaultParallelism, partitions_for(n_bytes, 1 << 20)))
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def is_small(ids: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has few enough rows to broadcast.  Counted whole: a limit would bring every
-    task's rows to a single one.  Callers hand over tables that are cheap to read again."""
-    return ids.count() <= limit
+def _width(name: str, kind: str):
+    """Bytes of a column's values: read for strings, binaries and arrays, eight for others."""
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(name), F.lit(0)).cast("long") + 8
+    if kind.startswith("array"):
+        return F.greatest(F.size(name), F.lit(0)).cast("long") * (16 if "string" not in kind else 64) + 8
+    return F.lit(8).cast("long")
+
+
+def is_small(table_: DataFrame, limit: int | None = None) -> bool:
+    """Whether a table's rows and values take few enough bytes to broadcast.  Measured whole: a limit
+    would bring every task's rows to a single one.  Callers hand over tables that are cheap to read again."""
+    each = sum((_width(n, k) for n, k in table_.dtypes), F.lit(16).cast("long"))
+    return (table_.select(F.sum(each)).first()[0] or 0) <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id: a broadcast when the ids are few (counted), else a shuffle."""
-    return docs.join(F.broadcast(ids) if is_small(ids) else ids, "doc_id", f"left_{how}")
+    """Semi or anti join on the columns of ``ids``: a broadcast when they are few (measured), else a shuffle."""
+    return docs.join(F.broadcast(ids) if is_small(ids) else ids, ids.columns, f"left_{how}")
 
 
-def attach(docs: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+def attach(docs: DataFrame, lists: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """(docs joined with their row of ``lists``, the docs that have none).
 
     When the ids in ``lists`` are few they are broadcast first, so that only texts with a row
     in ``lists`` are shuffled; beyond the limit the same joins run by shuffling.
     """
-    ids = lists.select("doc_id")
+    ids = lists.select(*on)
     if is_small(ids):
         small = F.broadcast(ids)
-        return docs.join(small, "doc_id", "left_semi").join(lists, "doc_id"), docs.join(small, "doc_id", "left_anti")
-    return docs.join(lists, "doc_id"), docs.join(ids, "doc_id", "left_anti")
+        return docs.join(small, on, "left_semi").join(lists, on), docs.join(small, on, "left_anti")
+    return docs.join(lists, on), docs.join(ids, on, "left_anti")
+
+
+def lookup(df: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``df`` with a table that has one row for each ``key``, where a key may hold most rows of ``df``.
+
+    A small table is broadcast (measured).  Otherwise keys with over HEAVY_ROWS rows in ``df`` are
+    looked up in a broadcast of their rows alone, of which there is at most one for each
+    HEAVY_ROWS rows, and the other keys by a shuffle.  Both tables should be cheap to read again.
+    """
+    if is_small(unique):
+        return df.join(F.broadcast(unique), key, how)
+    many = checkpoint(df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HEAVY_ROWS).select(key))
+    heavy = checkpoint(unique.join(F.broadcast(many) if is_small(many) else many, key, "left_semi"))
+    if not is_small(heavy, 8 * BROADCAST_BYTES):
+        return df.join(unique, key, how)
+    small = F.broadcast(many)
+    return df.join(small, key, "left_semi").join(F.broadcast(heavy), key, how).unionByName(df.join(small, key, "left_anti").join(unique, key, how))
 
 
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:

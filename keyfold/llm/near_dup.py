@@ -4,13 +4,18 @@ Signatures are banded; documents that share a band are candidates.  Within a buc
 is compared with the bucket's hub, the member that shares most bands with others; what that
 leaves apart is compared across components only, in blocks.  A candidate's signatures are read a
 batch at a time and it is dropped as soon as the posterior probability of reaching the threshold
-falls below the miss probability; survivors are verified on their whole shingle sets.
+falls below the miss probability; the texts of survivors alone are fetched, and verified on their
+whole sets of shingles, word by word.
+
+A hub is the partner of as many documents as its bucket holds: its pairs are dealt to blocks,
+each with a copy of the hub, and read one after another.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import Output, checkpoint, is_small, keep_ids, rows, texts
+from .common import Output, checkpoint, is_small, keep_ids, lookup, rows, texts
 from .components import components
 
 BATCH = 24
-BLOCK = 512
+#: Members of a bucket, and their shingles, that are held at once.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -51,8 +57,16 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     data = R.LOWER[np.frombuffer(text, np.uint8)]
     v = R.word_values(data, *R.word_bounds(data))
     if len(v) < words:
-        return R.Prefix(v).runs(np.array([0]), np.array([len(v)])) if len(v) else v
-    return np.unique(np.concatenate([R.Prefix(v[a:z]).windows(words) for a, z in R.blocks(len(v), words)]))
+        return R.windows(v, len(v)) if len(v) else v
+    return np.unique(R.windows(v, words))
+
+
+def shingle_set(text: bytes, words: int) -> set[bytes]:
+    """The same set as words themselves."""
+    w = text.lower().split()  # of bytes: A-Z, and the contract's white space
+    if len(w) < words:
+        return {b" ".join(w)} if w else set()
+    return set(map(b" ".join, zip(*(w[i:] for i in range(words)))))
 
 
 @functools.cache
@@ -97,128 +111,161 @@ def plausible(left: np.ndarray, right: np.ndarray, cfg: Settings) -> np.ndarray:
     return live
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether the intersection of two sorted sets reaches ``percent`` of their union."""
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+def linked(a: set, b: set, percent: int) -> bool:
+    """Whether the intersection of two sets reaches ``percent`` of their union."""
+    if not a or not b or min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
-    at = np.searchsorted(b, a)
-    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    common = len(a & b)
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def _features(docs: DataFrame, cfg: Settings) -> DataFrame:
-    """doc_id, n_shingles, 128 bits of the whole set, signature, band keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """row, doc_id, n_shingles, 128 bits of the whole set, signature, band keys."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches):
         out = Output(schema)
-        starts = np.arange(cfg.bands) * cfg.band_rows
         salt = R.mix(np.arange(1, cfg.bands + 1, dtype=np.uint64))
-        for doc, text in rows(batches, "doc_id", "text"):
+        for row, doc, text in rows(batches, "row", "doc_id", "text"):
             s = shingles(text, cfg.words)
             if not len(s):
-                out.add(doc, 0, None, None, None, None)
+                out.add(row, doc, 0, None, None, None, None)
             else:
                 sig = signature(s, cfg.hashes)
-                keys = R.mix(R.Prefix(R.mix(sig.astype(np.uint64))).runs(starts, starts + cfg.band_rows) ^ salt)
-                out.add(doc, len(s), int(R.mix(s).sum().astype(np.int64)), int(R.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().astype(np.int64)), sig.tobytes(), keys.view(np.int64).tolist())
+                keys = R.join(R.fold(sig.reshape(cfg.bands, cfg.band_rows)), salt)
+                out.add(row, doc, len(s), int(R.mix(s).sum().astype(np.int64)), int(R.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().astype(np.int64)), sig.tobytes(), keys.view(np.int64).tolist())
             if out.full():
                 yield out.take()
         yield from out.rest()
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, hi long, lo long, sig binary, bands array<long>")
+    named = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return named.mapInArrow(sign, "row long, doc_id long, n_shingles long, hi long, lo long, sig binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, cfg: Settings) -> DataFrame:
-    """(doc_id, set): the sorted shingle hashes of each text."""
+PAIR = pa.schema([("hub", pa.int64()), ("doc_id", pa.int64())])
 
-    def sets(batches):
-        out = Output(pa.schema([("doc_id", pa.int64()), ("set", pa.binary())]))
-        for doc, text in rows(batches, "doc_id", "text"):
-            out.add(doc, shingles(text, cfg.words).tobytes())
-            if out.full():
-                yield out.take()
-        yield from out.rest()
 
-    return docs.mapInArrow(sets, "doc_id long, set binary").dropDuplicates(["doc_id"])
+def _with_hub(pairs: DataFrame, values: DataFrame, check: Callable[[list], Callable[[bytes], bool]]) -> DataFrame:
+    """Those pairs (hub, doc_id, salt) of which some value (doc_id, value) of either side passes.
 
+    ``check`` takes the values of a hub and returns a test of a partner's.  Rows are dealt by hub
+    and salt and read in order, so one hub and one partner are held at a time.
+    """
+    partners = pairs.join(values, "doc_id").select("hub", "salt", "doc_id", "value")
+    hubs = pairs.select("hub", "salt").distinct().join(values.withColumnRenamed("doc_id", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("doc_id"), "value")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, key, passes = Output(PAIR), [], None, None
+        for hub, salt, doc, value in rows(batches, "hub", "salt", "doc_id", "value"):
+            if key != (hub, salt):
+                key, held = (hub, salt), []
+            if doc is None:
+                held.append(value)
+                passes = None
+                continue
+            if passes is None:
+                passes = check(held)
+            if passes(value):
+                out.add(hub, doc)
+                if out.full():
+                    yield out.take()
+        yield from out.rest()
 
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    dealt = hubs.unionByName(partners).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("doc_id").asc_nulls_first())
+    return dealt.mapInArrow(walk, "hub long, doc_id long")
 
 
 def _verified(pairs: DataFrame, features: DataFrame, docs: DataFrame, cfg: Settings) -> DataFrame:
-    """Those (a, b) whose sets are linked: signatures first, then whole sets."""
-    sig = features.select("doc_id", "sig")
-
-    def prune(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, cfg.hashes) for c in ("sig_a", "sig_b"))
-            keep = pa.array(plausible(a, b, cfg))
-            yield batch.select(["a", "b"]).take(keep)
-
-    def verify(batches):
-        out = Output(PAIR)
-        for a, b, x, y in rows(batches, "a", "b", "set_a", "set_b"):
-            if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), cfg.percent):
-                out.add(a, b)
-                if out.full():
-                    yield out.take()
-        yield from out.rest()
+    """Those pairs (hub, doc_id, salt) whose sets are linked, as (a, b): signatures first, then texts."""
+
+    def likely(hubs: list):
+        left = np.frombuffer(b"".join(hubs), np.uint32).reshape(-1, cfg.hashes)
+        return lambda sig: len(plausible(left, np.broadcast_to(np.frombuffer(sig, np.uint32), left.shape), cfg)) > 0
+
+    def same(hubs: list):
+        sets = [shingle_set(t, cfg.words) for t in hubs]
+
+        def passes(text):
+            other = shingle_set(text, cfg.words)
+            return any(linked(s, other, cfg.percent) for s in sets)
+
+        return passes
+
+    left = checkpoint(_with_hub(pairs, features.select("doc_id", F.col("sig").alias("value")), likely).distinct())
+    left = left.join(pairs, ["hub", "doc_id"])
+    ids = checkpoint(left.select(F.explode(F.array("hub", "doc_id")).alias("doc_id")).distinct())
+    whole = keep_ids(docs, ids, "semi").select("doc_id", F.col("text").alias("value"))
+    return checkpoint(_with_hub(left, whole, same).distinct().select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
 
-    def both(x: DataFrame, of: DataFrame, value: str) -> DataFrame:
-        for side in ("a", "b"):
-            x = x.join(of.select(F.col("doc_id").alias(side), F.col(value).alias(f"{value}_{side}")), side)
-        return x
 
-    left = checkpoint(both(pairs, sig, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long"))
-    ids = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    whole = _sets(keep_ids(docs, ids, "semi"), cfg)
-    return checkpoint(both(left, whole, "set").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"))
+def _blocks(inside: DataFrame, *values: str) -> DataFrame:
+    """Members (key, band, doc_id, label, most, n_shingles) dealt so that each of a bucket that isn't
+    of the component of most members (asks = 1) meets each member (asks = 0) in one block."""
+    asks = F.when(F.col("label") != F.col("most"), 1).otherwise(0)
+    sizes = inside.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.sum(asks).alias("others"), F.sum(asks * F.col("n_shingles")).alias("t"))
+    parts = lambda n, s: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK), F.ceil(F.col(s) / BLOCK_SHINGLES)).cast("int")
+    inside = lookup(inside, checkpoint(sizes.select("key", parts("n", "s").alias("blocks"), parts("others", "t").alias("turns"))), "key")
+    dealt, columns = F.xxhash64("doc_id", "key"), ["doc_id", "label", *values]
+    own = inside.select("key", "band", F.pmod(dealt, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("asks"), *columns)
+    asked = inside.where("label <> most").select("key", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(dealt, "turns").cast("int").alias("turn"), F.lit(1).alias("asks"), *columns)
+    return own.unionByName(asked)
 
 
 def _across(members: DataFrame, labels: DataFrame, features: DataFrame, docs: DataFrame, cfg: Settings) -> DataFrame | None:
     """Links between members of a bucket that are in no common component yet; None if no bucket has such.
 
-    In a bucket, the members outside the component of most members are compared with every
-    member, a bounded block of either at a time: signatures first, then whole sets, in place.  A pair
-    is looked at in the first band it shares only, and of a member's links to one component one
-    is returned, so the result stays small where many are alike.
+    Signatures alone are compared first; texts are fetched for the documents that have a likely
+    partner.  A pair is looked at in the first band it shares only, and of a member's links to one
+    component one is returned, so the result stays small where many are alike.
     """
     named = checkpoint(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    split = checkpoint(sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("parts > 1").select("key", "n", F.col("most.label").alias("most"), (F.col("n") - F.col("most.n")).alias("others")))
+    split = checkpoint(sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("most")).where("parts > 1").select("key", F.col("most.label").alias("most")))
     if split.isEmpty():
         return None
-    inside = checkpoint(named.join(split, "key"))
-    whole = _sets(keep_ids(docs, checkpoint(inside.select("doc_id").distinct()), "semi"), cfg)
-    inside = inside.join(features.select("doc_id", "sig").join(whole, "doc_id"), "doc_id")
-    blocks, turns = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("n", "others"))
-    dealt = F.xxhash64("doc_id", "key")
-    columns = ["doc_id", "label", "sig", "set"]
-    own = inside.select("key", "band", F.pmod(dealt, blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), F.lit(0).alias("asks"), *columns)
-    asked = inside.where("label <> most").select("key", "band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(dealt, turns).cast("int").alias("turn"), F.lit(1).alias("asks"), *columns)
 
-    def compare(t: pa.Table) -> pa.Table:
-        asks, doc, label = (t.column(c).to_numpy() for c in ("asks", "doc_id", "label"))
+    def candidates(t: pa.Table):
+        """(asking row, rows it may be linked with) of one block."""
+        asks, label = t.column("asks").to_numpy(), t.column("label").to_numpy()
         band = t.column("band")[0].as_py()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, cfg.hashes)
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
-        by_band = sig.reshape(len(sig), cfg.bands, cfg.band_rows)
-        here, found = np.flatnonzero(asks == 0), []
+        by_band, here = sig.reshape(len(sig), cfg.bands, cfg.band_rows), np.flatnonzero(asks == 0)
         for q in np.flatnonzero(asks == 1).tolist():
             to = here[label[here] != label[q]]
             to = to[plausible(sig[to], np.broadcast_to(sig[q], (len(to), cfg.hashes)), cfg)]
             if len(to):
                 to = to[(by_band[to] == by_band[q]).all(2).argmax(1) == band]
+            if len(to):
+                yield q, to
+
+    def alike(t: pa.Table) -> pa.Table:
+        doc, live = t.column("doc_id").to_numpy(), set()
+        for q, to in candidates(t):
+            live.add(int(doc[q]))
+            live.update(doc[to].tolist())
+        return pa.table([pa.array(sorted(live), pa.int64())], names=["doc_id"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        doc, label, text = t.column("doc_id").to_numpy(), t.column("label").to_numpy(), t.column("text")
+        of = functools.cache(lambda i: shingle_set(text[i].as_py().encode(), cfg.words))
+        found = []
+        for q, to in candidates(t):
             done = set()
             for v in to.tolist():
-                if label[v] not in done and linked(sets[q], sets[v], cfg.percent):
+                if label[v] not in done and linked(of(q), of(v), cfg.percent):
                     done.add(label[v])
-                    found.append(sorted((int(doc[q]), int(doc[v]))))
+                    found.append((int(doc[q]), int(doc[v])))
         a, b = np.array(found, np.int64).reshape(-1, 2).T
-        return pa.table([pa.array(a), pa.array(b)], schema=PAIR)
+        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return checkpoint(own.unionByName(asked).groupBy("key", "block", "turn").applyInArrow(compare, "a long, b long").distinct())
+    inside = lookup(named, split, "key").join(features.select("doc_id", "n_shingles", "sig"), "doc_id")
+    inside = checkpoint(inside)
+    live = checkpoint(_blocks(inside, "sig").groupBy("key", "block", "turn").applyInArrow(alike, "doc_id long").distinct())
+    if live.isEmpty():
+        return None
+    few = checkpoint(keep_ids(inside, live, "semi"))
+    dealt = _blocks(few, "sig").join(keep_ids(docs, live, "semi"), "doc_id")
+    return checkpoint(dealt.groupBy("key", "block", "turn").applyInArrow(compare, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,28 +274,32 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "
     Documents are linked when the intersection of their sets of distinct shingles reaches
     ``cfg.percent`` of the union; component_id is the smallest doc_id reachable, kept marks that
     one.  Null, empty and blank texts have no shingles and are linked with nothing; equal sets
-    are one class, searched once.  Rows that share an identifier share a component; rows without
-    identifier are left out.
+    are one class, searched once.  Rows that share an identifier share a component, whatever
+    their texts; rows without identifier are left out.
     """
     docs = texts(docs, id_col, text_col)
     features = checkpoint(_features(docs, cfg))
-    classes = checkpoint(features.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where("c > 1").drop("c"))
-    narrow = features.select("doc_id", "n_shingles", "hi", "lo").join(F.broadcast(classes) if is_small(classes) else classes, ["hi", "lo", "n_shingles"], "left")
-    narrow = checkpoint(narrow.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("rep")))
-    features = keep_ids(features, checkpoint(narrow.where("rep <> doc_id").select("doc_id")), "anti")
+    classes = checkpoint(features.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "row")).alias("first")).where("c > 1").drop("c"))
+    classed = features.join(F.broadcast(classes) if is_small(classes) else classes, ["hi", "lo", "n_shingles"], "left")
+    narrow = checkpoint(classed.select("row", "doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("rep"), (F.coalesce("first.row", "row") == F.col("row")).alias("leads")))
+    features = keep_ids(features, narrow.where("not leads").select("row"), "anti")
 
     rows_ = features.where("n_shingles > 0").select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = rows_.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = checkpoint(rows_.join(shared, "key"))
+    shared = checkpoint(rows_.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    members = checkpoint(lookup(rows_, shared, "key"))
     score = members.groupBy("doc_id").agg(F.sum("c").alias("score"))
-    hubs = members.join(score, "doc_id").groupBy("key").agg(F.max(F.struct("score", "doc_id"))["doc_id"].alias("hub"))
-    stars = members.join(hubs, "key").where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    hubs = checkpoint(members.join(score, "doc_id").groupBy("key").agg(F.max(F.struct("score", "doc_id"))["doc_id"].alias("hub")))
+    stars = lookup(members, hubs, "key").where("doc_id <> hub").groupBy("hub", "doc_id").agg(F.max("c").alias("c"))
+    stars = checkpoint(stars.select("hub", "doc_id", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BLOCK)).cast("int").alias("salt")))
     links = _verified(stars, features, docs, cfg)
+    # Rows of one identifier belong together: their classes are linked.
+    spread = narrow.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    links = checkpoint(links.unionByName(narrow.join(spread, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))))
     labels = components(links)
     more = _across(members, labels, features, docs, cfg)
     if more is not None and not more.isEmpty():
         labels = components(links.union(more))
-    out = narrow.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    out = lookup(narrow, labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -1,39 +1,27 @@
-"""Prefix hashes over bytes and words, vectorised in numpy.
+"""Hashes of words and of runs of symbols, vectorised in numpy.
 
-A text is cut into symbols (bytes or words); every symbol has a random 64-bit value, and
-``prefix[i]`` is the wrapped sum of ``value[j] * B**j`` for ``j < i``.  The hash of any
-run of symbols then costs one subtraction and one multiplication, whatever its length.
+Nothing here is linear: a word's value chains its bytes, eight at a time, through a mixer, and the
+hash of a run of symbols is built by doubling from the mixed hashes of its halves.  (Polynomial
+sums modulo a power of two collide on Thue-Morse sequences whatever their base.)  Hashes choose
+candidates; what is removed or linked is compared by its own words or bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-MASK = (1 << 64) - 1
 #: White space of every contract: space and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Longer words are hashed one by one.
+LONG_WORD = 64
 
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-_TABLES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 29)]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """``B**j`` and ``B**-j`` modulo 2**64 for ``j < n`` (kept, grown by doubling)."""
-    have = _powers.get(lane)
-    if have is None or len(have[0]) < n:
-        m = 1 << max(16, (n - 1).bit_length())
-        base, inverse = _BASES[lane], pow(_BASES[lane], -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            p = np.full(m, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _powers[lane] = (out[0], out[1])
-    return have
+_ONE, _TWO, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,30 +34,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Prefix:
-    """Hashes of runs of a sequence of 64-bit symbol values."""
+def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two neighbouring runs from theirs."""
+    return mix(left * _ONE + right * _TWO)
+
+
+def windows(values: np.ndarray, k: int, stride: int = 1) -> np.ndarray:
+    """Hash of each run of ``k`` symbols, ``stride`` places apart; their number is part of it."""
+    if len(values) <= (k - 1) * stride:
+        return np.zeros(0, np.uint64)
+    out, have = values, 1
+    while have < k:
+        step = min(have, k - have)
+        out = join(out[: len(out) - step * stride], out[step * stride :])
+        have += step
+    return mix(out + np.uint64(k * int(_LENGTH) & 0xFFFFFFFFFFFFFFFF))
 
-    def __init__(self, values: np.ndarray, lane: int = 0):
-        self.n, self.lane = len(values), lane
-        power, self.inverse = powers(self.n + 1, lane)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(values * power[: self.n], out=self.sums[1:])
 
-    def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Mixed hash of ``[start, end)``; the length is part of it."""
-        x = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(x + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def fold(columns: np.ndarray) -> np.ndarray:
+    """One hash for each row of a matrix."""
+    out = mix(columns[:, 0].astype(np.uint64))
+    for c in columns.T[1:]:
+        out = join(out, c.astype(np.uint64))
+    return out
 
-    def windows(self, k: int) -> np.ndarray:
-        """Mixed hash of each run of ``k`` symbols."""
-        m = self.n - k + 1
-        if m <= 0:
-            return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[:m]) * self.inverse[:m])
 
+def eights(data: np.ndarray, n: int | None = None) -> np.ndarray:
+    """The eight bytes from each place on as a number; past the end are zeros."""
+    n = len(data) if n is None else n
+    padded = np.zeros(max(n, len(data)) + 16, np.uint8)
+    padded[: len(data)] = data
+    out = np.empty(n, np.uint64)
+    for o in range(min(8, n)):
+        m = (n - o + 7) // 8
+        out[o::8] = padded[o : o + 8 * m].view("<u8")
+    return out
 
-def byte_values(data: np.ndarray, lane: int = 0) -> np.ndarray:
-    return _TABLES[lane][data]
+
+def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of ``k`` bytes, a multiple of eight."""
+    if len(data) < k:
+        return np.zeros(0, np.uint64)
+    return windows(mix(eights(data, len(data) - 7)), k // 8, 8)
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +86,25 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit value for each word."""
-    return Prefix(byte_values(data, lane), lane).runs(starts, ends)
+def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each word; words of at most eight bytes and one length never share one."""
+    left = ends - starts
+    out = mix(left.astype(np.uint64) * _LENGTH)
+    if not len(left):
+        return out
+    chunks, at, live = eights(data), starts.copy(), np.arange(len(left))
+    long = left > LONG_WORD
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    if long.any():
+        live = live[~long]
+    while len(live):
+        n = left[live]
+        out[live] = mix(out[live] + (chunks[at[live]] & _FIRST_BYTES[np.minimum(n, 8)]))
+        live = live[n > 8]
+        left[live] -= 8
+        at[live] += 8
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

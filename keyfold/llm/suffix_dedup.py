@@ -3,14 +3,17 @@
 A suffix array of a whole corpus fits nowhere, and most suffixes have no partner.  Winnowed byte
 grams find the windows that may have one; each window goes, with the text around it, to the
 bucket of the gram it chose, so equal windows meet.  A bucket's text is sorted by suffix, block by
-block, long ties resolved by the ranks of a difference-cover sample (``suffix_sort``).  A gram
-that occurs more than ``hot`` times would make a bucket without bound: its windows are compared
-by 128-bit hashes that are combined in each map task instead.
+block, long ties resolved by the ranks of a difference-cover sample (``suffix_sort``).
+
+The bucket of a gram with very many places is split by where the gram lies in a window and by the
+bytes that all windows of such a part share; a part that still has very many is split once
+more, by the whole window.  Every part is sorted like any other bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,199 +21,143 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import Output, attach, checkpoint, intervals, is_small, keep_ids, partitions_for, rows, text_bytes, texts
-from .repeats import BLOB, FLAGS, as_runs, by_document, flag_rows, flagged_places, pack_flags, unpack, unpack_flags
+from .common import Output, attach, buckets_for, checkpoint, intervals, is_small, keep_ids, partitions_for, rows, text_bytes
+from .repeats import DOCUMENT, HOT, as_runs, hot_keys, is_in, named_texts, recurring_anchors, settle_pieces, unpack
 from .suffix_sort import repeated
 
-HELD_BYTES = 16 << 20
 BUCKET_BYTES = 6 << 20
+#: Places of the gram in a window that go together when a hot gram is split; a multiple of eight.
+STEP = 24
+
 
+def segments(text: bytes, runs, length: int, gram: int, often: np.ndarray, still: np.ndarray):
+    """(key, level, start of the first window, windows, place of the gram) for the windows whose gram recurs.
 
-def _flagged_windows(text: bytes, runs, length: int, gram: int):
-    """(block start, prefix hashes, places of chosen grams, starts of windows with a recurring gram)."""
+    Level 0: windows that chose one gram; 1: a part of those of a hot gram, keyed by the
+    bytes that they share; 2: one window of a part that is hot as well, keyed by itself.
+    """
     data, w = np.frombuffer(text, np.uint8), length - gram + 1
-    recurring = unpack(runs)
     flag = np.zeros(len(data) + 1, bool)
-    flag[recurring[recurring < len(flag)]] = True
+    flag[unpack(runs)] = True
     for a, z in R.blocks(len(data), length):
-        if flag[a:z].any():
-            p = R.Prefix(R.byte_values(data[a:z]))
-            grams = p.windows(gram)
-            at = R.window_places(grams, w)
-            starts = np.flatnonzero(flag[a + at])
-            if len(starts):
-                yield a, grams, at, starts
-
-
-def _pack(segments: list[tuple]) -> bytes:
-    gram, doc, lo, many = zip(*((s[0], s[1], s[2], s[4]) for s in segments))
-    sizes = np.array([len(s[3]) for s in segments], "<u4")
-    return b"".join((np.int64(len(segments)).tobytes(), np.array(gram, "<u8").tobytes(), np.array(doc, "<i8").tobytes(), np.array(lo, "<u4").tobytes(), sizes.tobytes(), np.array(many, "u1").tobytes(), *(s[3] for s in segments)))
-
-
-def _unpack(data: bytes):
-    n, out, o = int.from_bytes(data[:8], "little"), [], 8
-    for kind in ("<u8", "<i8", "<u4", "<u4", "u1"):
-        out.append(np.frombuffer(data, kind, n, o).tolist())
-        o += n * np.dtype(kind).itemsize
-    for gram, doc, lo, size, many in zip(*out):
-        yield gram, doc, lo, data[o : o + size], many
-        o += size
-
-
-def _suffix_buckets(docs: DataFrame, hot: frozenset, n_buckets: int, length: int, gram: int) -> DataFrame:
-    often = np.array(sorted(hot), np.uint64)
-
-    def segments(batches):
-        out, held, settled, size = Output(BLOB), {}, [], 0
-
-        def flush():
-            buckets: dict[int, list] = {}
-            for text, (g, doc, lo, many) in held.items():
-                buckets.setdefault((g >> 33) % n_buckets, []).append((g, doc, lo, text, many))
-            for b, of in sorted(buckets.items()):
-                out.add(b, 0, _pack(of))
-                if out.full():
-                    yield out.take()
-            if settled:
-                out.add(settled[0][0] % n_buckets, 1, pack_flags(*np.array(sorted(settled), np.int64).T))
-            yield from out.rest()
-
-        for doc, text, runs in rows(batches, "doc_id", "text", "data"):
-            for a, grams, at, starts in _flagged_windows(text, runs, length, gram):
-                if len(often):
-                    starts = starts[~np.isin(grams[at[starts]], often)]
-                    if not len(starts):
-                        continue
-                chosen = at[starts]
-                cut = np.flatnonzero((np.diff(chosen) != 0) | (np.diff(starts) != 1))
-                first, last = starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)]
-                for s, e, g in zip(first.tolist(), last.tolist(), grams[at[first]].tolist()):
-                    piece = text[a + s : a + e + length]
-                    have = held.get(piece)
-                    if have is None:
-                        held[piece] = (g, doc, a + s, 0)
-                        size += len(piece) + 200
-                        continue
-                    settled.append((doc, a + s, e - s + 1))
-                    if not have[3]:
-                        settled.append((have[1], have[2], e - s + 1))
-                        held[piece] = (*have[:3], 1)
-                if size >= HELD_BYTES or len(settled) >= 1 << 17:
-                    yield from flush()
-                    held, settled, size = {}, [], 0
-        yield from flush()
-
-    def sort(t: pa.Table) -> pa.Table:
-        parts, by_gram, done = [], {}, []
-        for what, data in zip(t.column("kind").to_pylist(), t.column("data").to_pylist()):
-            if what:
-                parts.append(unpack_flags(data))
-                continue
-            for g, doc, lo, piece, many in _unpack(data):
-                of = by_gram.setdefault(g, {})
-                have = of.get(piece)
-                if have is None:
-                    of[piece] = [(doc, lo, bool(many))]
-                else:
-                    have.append((doc, lo, True))
-        texts_, owners = [], []
-        for of in by_gram.values():
-            for piece, where in of.items():
-                n = len(piece) - length + 1
-                if len(where) > 1 or where[0][2]:
-                    done += [(doc, lo, n) for doc, lo, _ in where]
-                if len(of) > 1:
-                    texts_.append(piece)
-                    owners.append(None if len(where) > 1 or where[0][2] else where[0])
-        by_gram.clear()
-        if done:
-            parts.append(tuple(np.array(done, np.int64).T))
-        if texts_:
-            sizes = np.array([len(x) for x in texts_])
-            begin = np.cumsum(sizes) - sizes
-            counts = sizes - length + 1
-            ends = np.cumsum(counts)
-            at = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1])
-            hit = repeated(np.frombuffer(b"".join(texts_), np.uint8), at, length)
-            open_ = np.array([o is not None for o in owners])
-            doc, lo = (np.array([o[i] if o else 0 for o in owners], np.int64) for i in (0, 1))
-            hit &= np.repeat(open_, counts)
-            inside = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
-            parts.append(as_runs(np.repeat(doc, counts)[hit], (np.repeat(lo, counts) + inside)[hit]))
-        return pa.Table.from_batches(flag_rows(parts, n_buckets), FLAGS)
-
-    found = docs.mapInArrow(segments, "bucket int, kind byte, data binary").groupBy("bucket").applyInArrow(sort, "bucket int, data binary")
-    return by_document(found)
-
-
-def repeated_windows(docs: DataFrame, length: int = 200, gram: int = 32, hot: int = 50_000) -> DataFrame:
-    """(doc_id, data): packed starts of the windows of ``length`` bytes that also start elsewhere."""
-    w, total = length - gram + 1, text_bytes(docs)
-    hot = max(hot, 2 * total // w // 1_000_000) if hot >= 50_000 else hot  # at most a million hot grams
-
-    def seeds(batches):
-        for doc, text in rows(batches, "doc_id", "text"):
+        if not flag[a:z].any():
+            continue
+        grams = R.byte_grams(data[a:z], gram)
+        at = R.window_places(grams, w)
+        starts = np.flatnonzero(flag[a + at])
+        if not len(starts):
+            continue
+        chosen, level = at[starts], np.zeros(len(starts), np.int64)
+        keys, part = grams[chosen], (chosen - starts) // STEP
+        hot = is_in(keys, often)
+        if hot.any():
+            level[hot] = 1
+            shared = R.byte_grams(data[a:z], length - STEP)
+            keys = keys.copy()
+            keys[hot] = R.join(shared[chosen[hot] - part[hot] * STEP], part[hot].astype(np.uint64))
+            more = hot & is_in(keys, still)
+            if more.any():
+                level[more] = 2
+                keys[more] = R.byte_grams(data[a:z], length)[starts[more]]
+        new = (np.diff(chosen) != 0) | (np.diff(starts) != 1) | (np.diff(level) != 0) | ((level[1:] > 0) & (np.diff(part) != 0)) | (level[1:] == 2)
+        cut = np.append(0, np.flatnonzero(new) + 1)
+        many = np.diff(np.append(cut, len(starts)))
+        yield from zip(keys[cut].tolist(), level[cut].tolist(), (a + starts[cut]).tolist(), many.tolist(), (a + chosen[cut]).tolist())
+
+
+def compare(pieces: list[tuple], length: int) -> list[tuple]:
+    """Runs of windows of distinct pieces that recur among them, as arrays (doc, var, start, count); a
+    piece known to recur whole is searched for the others alone."""
+    if not pieces:
+        return []
+    sizes = np.array([len(p[-1]) for p in pieces])
+    begin, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+    ends = np.cumsum(counts)
+    inside = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
+    hit = repeated(np.frombuffer(b"".join(p[-1] for p in pieces), np.uint8), np.repeat(begin, counts) + inside, length)
+    hit &= np.repeat(np.array([not p[6] for p in pieces]), counts)
+    doc, var, lo = (np.repeat(np.array([p[i] for p in pieces], np.int64), counts)[hit] for i in (1, 2, 3))
+    return [as_runs(doc, var, lo + inside[hit])]
+
+
+def repeated_windows(docs: DataFrame, length: int = 200, gram: int = 32, hot: int = HOT) -> DataFrame:
+    """(doc_id, var, data): packed starts of the windows of ``length`` bytes that also start elsewhere."""
+    spark, w, total = docs.sparkSession, length - gram + 1, text_bytes(docs)
+
+    def anchors(batches):
+        for doc, var, text in rows(batches, *DOCUMENT, "text"):
             data, found, hashes = np.frombuffer(text, np.uint8), [], []
             for a, z in R.blocks(len(data), length):
-                g = R.Prefix(R.byte_values(data[a:z])).windows(gram)
+                g = R.byte_grams(data[a:z], gram)
                 at = R.chosen_places(g, w)
                 found.append(at + a)
                 hashes.append(g[at])
             if found:
                 at, first = np.unique(np.concatenate(found), return_index=True)
-                yield doc, np.concatenate(hashes)[first][None], at
+                yield doc, var, np.concatenate(hashes)[first], at
 
-    seen = checkpoint(flagged_places(docs, seeds, 1, partitions_for(total), "any", hot))
-    recurring = seen.where("doc_id is not null")
-    often = frozenset(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["data"], "<u8") for r in seen.where("doc_id is null").collect())]).tolist())
-    places = (recurring.select(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0) // 8
-    with_seeds = attach(docs, recurring)[0].select("doc_id", "text", "data")
-    out = _suffix_buckets(with_seeds, often, partitions_for(places * (length + w // 2), BUCKET_BYTES), length, gram)
-    if not often:
-        return out
-    among = np.array(sorted(often), np.uint64)
+    recurring, often = recurring_anchors(docs, anchors, buckets_for(spark, total), hot, 2 * total // w)
+    with_anchors = attach(docs, recurring, DOCUMENT)[0].select(*DOCUMENT, "text", "data")
+    listed, still = spark.sparkContext.broadcast(often), np.zeros(0, np.uint64)
+
+    def parts(batches):
+        """How often each part of a hot gram's bucket is met."""
+        out, held = Output(pa.schema([("key", pa.int64()), ("n", pa.int64())])), Counter()
 
-    def windows(batches):
-        for doc, text, runs in rows(batches, "doc_id", "text", "data"):
-            for a, grams, at, starts in _flagged_windows(text, runs, length, gram):
-                starts = starts[np.isin(grams[at[starts]], among)]
-                if len(starts):
-                    data = np.frombuffer(text, np.uint8)[a : a + len(grams) + gram - 1]
-                    yield doc, np.stack([R.Prefix(R.byte_values(data, k), k).runs(starts, starts + length) for k in (0, 1)]), a + starts
+        def flush():
+            for key, n in held.items():
+                out.add(key - (1 << 64) if key >> 63 else key, n)
+                if out.full():
+                    yield out.take()
+            held.clear()
 
-    by_hash = flagged_places(with_seeds, windows, 2, partitions_for(total), "any")
-    return out.unionByName(by_hash).groupBy("doc_id").agg(F.expr("aggregate(collect_list(data), X'', (s, x) -> concat(s, x))").alias("data"))
+        for text, runs in rows(batches, "text", "data"):
+            held.update(key for key, level, *_ in segments(text, runs, length, gram, listed.value, np.zeros(0, np.uint64)) if level)
+            if len(held) > 1 << 18:
+                yield from flush()
+        yield from flush()
+        yield from out.rest()
+
+    if len(often):
+        still = hot_keys(with_anchors.select("text", "data").mapInArrow(parts, "key long, n long"), hot)
+    listed_too = spark.sparkContext.broadcast(still)
+
+    def pieces(batches):
+        for doc, var, text, runs in rows(batches, *DOCUMENT, "text", "data"):
+            for key, _, start, many, at in segments(text, runs, length, gram, listed.value, listed_too.value):
+                yield key, doc, var, start, at - start, many, 0, text[start : start + many + length - 1]
+
+    places = (recurring.select(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0) // 8
+    return settle_pieces(with_anchors, pieces, lambda p: compare(p, length), partitions_for(places * (length + w // 2), BUCKET_BYTES), False)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     Texts are their UTF-8 bytes, null as empty; matches stay within a document, may overlap
     themselves, and are judged on the input.  Returns one row a document: doc_id, n_bytes,
     spans (maximal removed runs of bytes, end exclusive), kept (binary; a cut may fall inside a
     character).  Texts shorter than ``length`` are kept whole.  A repeated row is another place
-    where its text occurs; rows that share an identifier get the union of their spans; rows
-    without identifier are left out.
+    where its text occurs; rows that share an identifier are judged each by its own text; rows
+    without identifier are left out.  ``length`` is a multiple of eight above ``gram`` and STEP.
     """
-    docs = texts(docs, id_col, text_col)
+    docs = named_texts(docs, id_col, text_col)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     # Equal texts: each of their windows occurs again, so only one of them need be searched.
-    digest = checkpoint(docs.select("doc_id", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("digest")).where(F.col("n") >= length))
-    groups = checkpoint(digest.groupBy("digest").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where("c > 1"))
-    copies = checkpoint(digest.join(F.broadcast(groups) if is_small(groups) else groups, "digest").groupBy("doc_id").agg(F.min("first").alias("first")))
-    one_each = keep_ids(docs, copies.where("doc_id <> first").select("doc_id"), "anti")
+    digest = checkpoint(docs.select(*DOCUMENT, F.octet_length("text").alias("n"), F.sha2("text", 256).alias("digest")).where(F.col("n") >= length))
+    groups = checkpoint(digest.groupBy("digest").agg(F.count("*").alias("c"), F.min(F.struct(*DOCUMENT)).alias("first")).where("c > 1"))
+    copies = checkpoint(digest.join(F.broadcast(groups) if is_small(groups) else groups, "digest").groupBy(*DOCUMENT).agg(F.min("first").alias("first")))
+    # A repeated row of the one that is searched goes with it: places of one document aren't told apart by row.
+    one_each = keep_ids(docs, copies.where("doc_id <> first.doc_id or var <> first.var").select(*DOCUMENT), "anti")
 
     def cut(batches):
         out = Output(schema)
         for doc, text, runs, whole in rows(batches, "doc_id", "text", "data", "whole"):
             if whole:
-                a = z = np.array([0, len(text)])
-                a, z = a[:1], z[1:]
+                a, z = np.array([0]), np.array([len(text)])
             else:
-                starts = unpack(runs)
-                a, z = intervals(starts[starts + length <= len(text)], length)
+                a, z = intervals(unpack(runs), length)
             at, kept = 0, []
             for s, e in zip(a.tolist(), z.tolist()):
                 kept.append(text[at:s])
@@ -221,8 +168,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, hot: int
                 yield out.take()
         yield from out.rest()
 
-    whole, rest = attach(docs, copies.select("doc_id"))
-    hit, clean = attach(rest, checkpoint(repeated_windows(one_each, length, gram, hot)))
+    whole, rest = attach(docs, copies.select(*DOCUMENT), DOCUMENT)
+    hit, clean = attach(rest, checkpoint(repeated_windows(one_each, length, gram, hot)), DOCUMENT)
     blank, no, yes = F.lit(None).cast("binary").alias("data"), F.lit(False).alias("whole"), F.lit(True).alias("whole")
     parts = hit.select("doc_id", "text", "data", no).unionByName(clean.select("doc_id", "text", blank, no)).unionByName(whole.select("doc_id", "text", blank, yes))
     return parts.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -1,5 +1,6 @@
 """Each operator against brute force, and on awkward and empty tables."""
 
+import hashlib
 import random
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 from oracle import connect, same
 from tokenizers import Tokenizer
 
-from keyfold.llm import decontamination, exact_dedup, near_dup, packing, pii, quality, sst, substring, suffix_dedup, suffix_sort, tokens, toxicity
+from keyfold.llm import common, decontamination, exact_dedup, near_dup, packing, pii, quality, sst, substring, suffix_dedup, suffix_sort, tokens, toxicity
 from keyfold.llm.queries import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -48,16 +49,101 @@ def test_near_duplicates_of_many_variants(spark):
     assert rows_of(got) == near_dup.brute_force(docs, 85)
 
 
+def thue_morse(n, a, b):
+    """On which sums of powers modulo a power of two collide, whatever their base."""
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+def pairs_of_long_words():
+    return [(n, x, y) for n in (512, 1024, 2048, 4096) for x, y in (("a", "b"), ("b", "a"))]
+
+
+def test_near_duplicates_tell_long_words_apart(spark):
+    docs = [(i, f"p q {thue_morse(*w)} r s") for i, w in enumerate(pairs_of_long_words())] + [(100, "one two"), (101, "One  two"), (102, None)]
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), near_dup.Settings(percent=85))
+    assert rows_of(got) == near_dup.brute_force(docs, 85)
+
+
+def test_near_duplicates_with_split_hubs_and_nothing_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 20)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    r = random.Random(7)
+    docs = []
+    for i in range(120):
+        w = [f"w{k}" for k in range(100)]
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(100)] = f"x{r.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), near_dup.Settings(percent=85))
+    assert rows_of(got) == near_dup.brute_force(docs, 85)
+
+
+def test_near_duplicates_of_rows_that_share_an_identifier(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = [(1, one), (2, one), (2, two), (3, two), (9, "x"), (9, "x")]
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert [(r[0], r[2]) for r in rows_of(got)] == [(1, 1), (2, 1), (2, 1), (3, 1), (9, 9), (9, 9)]
+
+
+def digests(out):
+    """The rows of the op5 contract out of the operator's."""
+    return sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out.collect())
+
+
 def test_seed_extend(spark):
     assert rows_of(QUERIES["op5_seed_extend"](spark, SMALL)) == substring.brute_force(docs_of(spark))
 
 
 @pytest.mark.parametrize("hot", [50_000, 3])
+def test_seed_extend_on_ties_and_long_words(spark, hot):
+    r = random.Random(1)
+    docs = [(i, " ".join([*(f"q{k}" for k in range(10)), thue_morse(*w), *(f"z{k}" for k in range(12))])) for i, w in enumerate(pairs_of_long_words())]
+    docs += [(100 + i, " ".join(r.choice("ab") for _ in range(r.randint(10, 200)))) for i in range(60)]
+    docs += [(200, "word " * 500), (201, None), (202, ""), (203, " \t\n")]
+    docs += [(300 + i, " ".join([str(i)] * 5 + [f"k{k}" for k in range(25)] + [str(-i)] * 5)) for i in range(30)]
+    got = substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot)
+    assert digests(got) == substring.brute_force(docs)
+
+
+def test_seed_extend_keeps_rows_of_one_identifier_apart(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    docs = [(1, one), (2, one), (2, two), (2, two), (3, f"{two} {one}")]
+    got = digests(substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert [x[:3] for x in got] == [(1, 40, 0), (2, 40, 0), (2, 40, 0), (2, 40, 40), (3, 80, 80)]
+
+
+def bytes_of(out):
+    return sorted((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out.collect())
+
+
+def test_suffix_array_query(spark):
+    assert rows_of(QUERIES["op9_suffix_array"](spark, SMALL)) == suffix_dedup.brute_force(docs_of(spark))
+
+
+@pytest.mark.parametrize("hot", [50_000, 20, 3, 1])
 def test_suffix_array(spark, hot):
-    docs = [(i, t) for i, t in docs_of(spark) if len(t) < 6000][:80]
+    r = random.Random(1)
+    docs = [(i, t) for i, t in docs_of(spark) if len(t) < 6000][:60]
+    line = "".join(r.choice("abcdefghijkl ") for _ in range(230))
+    docs += [(10_000 + i, "".join(r.choice("ab") for _ in range(100)) + line + "".join(r.choice("ab ") for _ in range(r.randint(0, 100)))) for i in range(40)]
+    docs += [(20_000, "ab" * 1500), (20_001, "x" * 4000), (20_002, None), (20_003, docs[5][1])]
+    docs += [(30_000 + i, thue_morse(*w)) for i, w in enumerate(pairs_of_long_words())]
     out = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot)
-    got = sorted((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans)) for r in out.collect())
-    assert got == [x[:4] for x in suffix_dedup.brute_force(docs)]
+    assert bytes_of(out) == suffix_dedup.brute_force(docs)
+
+
+def test_suffix_array_of_a_gram_with_very_many_places(spark):
+    docs = [(1, "x" * 61_000), (2, "y" * 100 + "x" * 199), (3, "x" * 200 + "z" * 50)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert [x[1:4] for x in bytes_of(out)] == [(61_000, 61_000, 1), (299, 0, 0), (250, 200, 1)]
+
+
+def test_suffix_array_keeps_rows_of_one_identifier_apart(spark):
+    one, two = "a1b2c3d4e5" * 30 + "q", "".join(chr(97 + i % 26) + str(i) for i in range(150))
+    docs = [(1, two), (2, two), (2, one[:190]), (3, "kept " + one[:150])]
+    got = bytes_of(suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert [x[:3] for x in got] == [(1, len(two), len(two)), (2, 190, 0), (2, len(two), len(two)), (3, 155, 0)]
 
 
 def test_suffix_sort():
