@@ -1,4 +1,4 @@
-"""Programs over the engine, each a function of (spark, folder of tables), with SQL for its rows."""
+"""Programs over the engine: over any DataFrame, and as functions of (spark, folder of tables), with SQL for their rows."""
 
 from . import numeric, similar, text
 

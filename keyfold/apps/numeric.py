@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as K
 from .. import operators as A
 
-N = 32
-CLUSTERS, ROUNDS = 4, 3
+CLUSTERS = 4
 
 
 def histogram(channels: DataFrame) -> DataFrame:
@@ -38,9 +40,9 @@ def linreg_fit(spark, d):
 
 
 def _matrix(spark, d) -> DataFrame:
-    """(row, v): the first rows of the embeddings as integers."""
-    t = spark.read.parquet(f"{d}/embeddings.parquet").where(F.col("vec_id") < N)
-    return t.select(F.col("vec_id").cast("bigint").alias("row"), F.transform(F.slice("embedding", 1, N), lambda x: F.floor(x.cast("double") * 100).cast("bigint")).alias("v"))
+    """(row, v): every row and component of the embeddings as integers."""
+    t = spark.read.parquet(f"{d}/embeddings.parquet")
+    return t.select(F.col("vec_id").cast("bigint").alias("row"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("bigint")).alias("v"))
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -64,14 +66,20 @@ def blocked_product(a: DataFrame, b: DataFrame, block: int = 8) -> DataFrame:
     return left.join(right, "kb").select("i", "j", part.alias("v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def transposed(cells: DataFrame) -> DataFrame:
+    return cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+
+
 def matmul(spark, d):
+    """E'E over every row and component of the embeddings."""
     m = cells(_matrix(spark, d))
-    return product(m, m)
+    return product(transposed(m), m)
 
 
 def matmul_blocked(spark, d):
+    """The same, a block of rows at a time."""
     m = cells(_matrix(spark, d))
-    return blocked_product(m, m)
+    return blocked_product(transposed(m), m, 16)
 
 
 def means(rows: DataFrame) -> DataFrame:
@@ -80,61 +88,75 @@ def means(rows: DataFrame) -> DataFrame:
 
 
 def row_mean(spark, d):
+    """The mean of every row, over all its components."""
     return means(_matrix(spark, d))
 
 
-def covariance(rows: DataFrame) -> DataFrame:
-    """(i, j, cov) for i <= j; the divisor is the number of rows less one, truncated toward zero."""
-    centred = rows.join(means(rows), "row").select("row", F.transform("v", lambda x: x - F.col("mean")).alias("c"))
-    a, b = centred.select(F.col("row").alias("i"), F.col("c").alias("x")), centred.select(F.col("row").alias("j"), F.col("c").alias("y"))
-    n = rows.agg((F.count("*") - 1).alias("n"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return a.join(b, F.col("i") <= F.col("j")).crossJoin(F.broadcast(n)).select("i", "j", dot.alias("d"), "n").select("i", "j", F.expr("d div n").alias("cov"))
+#: Rows of a block in ``covariance``.
+BLOCK = 512
+CELLS = "i long, j long, d long"
 
 
-def covariance_upper(spark, d):
-    return covariance(_matrix(spark, d))
-
-
-def _whole(spark, d) -> DataFrame:
-    """(row, v): every row and component of the embeddings as integers."""
-    t = spark.read.parquet(f"{d}/embeddings.parquet")
-    return t.select(F.col("vec_id").cast("bigint").alias("row"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("bigint")).alias("v"))
-
+def covariance(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, j, cov) of rows i <= j; the divisor is the number of rows less one, truncated toward zero.
 
-def transposed(cells: DataFrame) -> DataFrame:
-    return cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    Every pair of rows is a cell of the result.  Rows are dealt to blocks, each row sent once for
+    every block of its partners, and a task multiplies two blocks, whatever their number.
+    """
+    n = rows.count()
+    blocks = max(1, -(-n // block))
+    centred = rows.join(means(rows), "row").select("row", F.transform("v", lambda x: x - F.col("mean")).alias("c"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("b"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    dealt = centred.select("row", "c", "b", others).select("row", "c", "b", F.least("b", "o").alias("one"), F.greatest("b", "o").alias("two"))
+
+    def multiply(t: pa.Table) -> pa.Table:
+        at, of = t.column("row").to_numpy(), t.column("b").to_numpy()
+        x = np.array(t.column("c").to_pylist(), np.int64)
+        one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
+        a, b = np.flatnonzero(of == one), np.flatnonzero(of == two)
+        dots = x[a] @ x[b].T
+        i, j = np.broadcast_to(at[a][:, None], dots.shape), np.broadcast_to(at[b][None, :], dots.shape)
+        keep = (i <= j) if one == two else np.ones(dots.shape, bool)
+        low, high = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+        return pa.table([low, high, dots[keep]], names=["i", "j", "d"])
+
+    return dealt.groupBy("one", "two").applyInArrow(multiply, CELLS).select("i", "j", F.expr(f"d div {max(1, n - 1)}").alias("cov"))
 
 
 def column_covariance(rows: DataFrame) -> DataFrame:
-    """``covariance`` of the transposed matrix from sums alone, so that its rows, the places of v, may be of any length."""
-    sums = cells(rows).groupBy("j").agg(F.sum("v").alias("s"), F.count("*").alias("n")).withColumn("mean", F.expr("s div n"))
-    a, b = sums.select(F.col("j").alias("i"), F.col("s").alias("sa"), F.col("mean").alias("ma"), "n"), sums.select("j", F.col("s").alias("sb"), F.col("mean").alias("mb"))
-    divisor = sums.agg((F.count("*") - 1).alias("m"))
-    pairs = rows.select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
-    dots = pairs.groupBy(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    return dots.join(a, "i").join(b, "j").crossJoin(F.broadcast(divisor)).select("i", "j", F.expr("(v - mb * sa - ma * sb + n * ma * mb) div m").alias("cov"))
-
-
-def matmul_whole(spark, d):
-    """E'E over every row and component."""
-    m = cells(_whole(spark, d))
-    return product(transposed(m), m)
+    """``covariance`` of the transposed matrix: its rows, the places of v, may be of any length.
 
+    Each task sums products of whole batches of rows; one row for each pair of places and task is shuffled.
+    """
 
-def matmul_blocked_whole(spark, d):
-    m = cells(_whole(spark, d))
-    return blocked_product(transposed(m), m, 16)
+    def products(batches):
+        total = None
+        for batch in batches:
+            x = np.array(batch.column("v").to_pylist(), np.int64)
+            if len(x):
+                x = np.concatenate([np.ones((len(x), 1), np.int64), x], 1)  # so that sums and the count stand in the first row
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "d"])
+
+    sums = rows.select("v").mapInArrow(products, CELLS).groupBy("i", "j").agg(F.sum("d").alias("d"))
+    n = F.broadcast(sums.where("i = 0 and j = 0").select(F.col("d").alias("n")))
+    of = sums.where("i = 0 and j > 0").crossJoin(n).select("j", F.col("d").alias("s"), F.expr("d div n").alias("mean"), "n")
+    m = F.broadcast(of.agg(F.greatest(F.lit(1), F.count("*") - 1).alias("m")))
+    a, b = of.select(F.col("j").alias("i"), F.col("s").alias("sa"), F.col("mean").alias("ma"), "n"), of.select("j", F.col("s").alias("sb"), F.col("mean").alias("mb"))
+    out = sums.where("i > 0").join(a, "i").join(b, "j").crossJoin(m)
+    return out.select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), F.expr("(d - mb * sa - ma * sb + n * ma * mb) div m").alias("cov"))
 
 
-def row_mean_whole(spark, d):
-    """The mean of every row, over all its components."""
-    return means(_whole(spark, d))
+def covariance_upper(spark, d):
+    """Covariance of every pair of rows of the embeddings."""
+    return covariance(_matrix(spark, d))
 
 
-def covariance_upper_whole(spark, d):
+def covariance_components(spark, d):
     """Covariance of the components over every row."""
-    return column_covariance(_whole(spark, d))
+    return column_covariance(_matrix(spark, d))
 
 
 def assign(points: DataFrame, centres: list[list[int]]) -> DataFrame:
@@ -144,30 +166,72 @@ def assign(points: DataFrame, centres: list[list[int]]) -> DataFrame:
 
 
 def step(points: DataFrame, centres: list[list[int]]) -> list[list[int]]:
-    """New centres: truncated means; a centre without points stays."""
+    """New centres: truncated means of their points; a centre without points stays.
+
+    Each task adds up its points and hands on one row for each centre.
+    """
+    old = np.array(centres, np.int64)
+
+    def add(batches):
+        total, n = np.zeros(old.shape, np.int64), np.zeros(len(old), np.int64)
+        for batch in batches:
+            x = _vectors_of(batch)
+            k = nearest_centre(x, old)
+            np.add.at(total, k, x)
+            n += np.bincount(k, minlength=len(old))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(old)), pa.int64()), pa.array(n), pa.array(total.tolist(), pa.list_(pa.int64()))], names=["k", "n", "s"])
+
     new = [list(c) for c in centres]
-    for r in A.vector_mean(assign(points, centres), "k", "v").collect():  # K x dim numbers
-        new[r["k"]][r["pos"]] = r["mean"]
+    parts = points.select("v").mapInArrow(add, "k long, n long, s array<long>")
+    places = F.array(*(F.sum(F.get("s", F.lit(i))) for i in range(old.shape[1])))
+    sums = parts.groupBy("k").agg(F.sum("n").alias("n"), places.alias("s"))
+    for r in sums.collect():  # K rows of numbers
+        if r["n"]:
+            new[r["k"]] = [(abs(x) // r["n"]) * (1 if x >= 0 else -1) for x in r["s"]]
     return new
 
 
+def _vectors_of(batch: pa.RecordBatch) -> np.ndarray:
+    column = batch.column("v")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, the first of equals; exact, in integers."""
+    best, at = None, np.zeros(len(x), np.int64)
+    for k, c in enumerate(centres):
+        d = ((x - c) ** 2).sum(1)
+        if best is None:
+            best = d
+        else:
+            closer = d < best
+            best, at = np.where(closer, d, best), np.where(closer, k, at)
+    return at
+
+
 def kmeans(points: DataFrame, k: int, most_rounds: int | None = None) -> list[list[int]]:
-    """Centres, from the first ``k`` points, until no point changes its centre.
+    """Centres, from the first ``k`` points (id, v), until no point changes its centre.
 
-    ``most_rounds`` ends it earlier, with a warning.  Truncated means could in principle return to earlier
-    centres; that would go on for ever and is an error.
+    No point does once the centres stay, since centres alone decide.  ``most_rounds`` ends it
+    earlier, with a warning.  Truncated means could in principle return to earlier centres; that
+    would go on for ever and is an error.  Points are read once and kept as far as memory holds.
     """
-    centres = [r["v"] for r in points.orderBy("id").limit(k).collect()]
-    seen = set()
-    while most_rounds is None or len(seen) < most_rounds:
-        new = step(points, centres)
-        if new == centres:
-            return centres
-        seen.add(str(centres))
-        if str(new) in seen:
-            raise ValueError(f"k-means returns to earlier centres after {len(seen)} rounds")
-        centres = new
-    warnings.warn(f"k-means ended after {most_rounds} rounds without having converged", stacklevel=2)
+    kept = points.select("id", "v").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        centres = [r["v"] for r in kept.orderBy("id").limit(k).collect()]
+        seen: set[str] = set()
+        while centres and (most_rounds is None or len(seen) < most_rounds):
+            new = step(kept, centres)
+            if new == centres:
+                return centres
+            seen.add(str(centres))
+            if str(new) in seen:
+                raise ValueError(f"k-means returns to earlier centres after {len(seen)} rounds")
+            centres = new
+    finally:
+        kept.unpersist()
+    if centres:
+        warnings.warn(f"k-means ended after {most_rounds} rounds without having converged", stacklevel=2)
     return centres
 
 
@@ -191,12 +255,6 @@ def kmeans_step(spark, d):
 
 
 def kmeans_fit(spark, d):
-    """Sizes of the clusters after ROUNDS rounds, as many as its SQL unrolls; not converged."""
-    points = _vectors(spark, d)
-    return assign(points, kmeans(points, CLUSTERS, ROUNDS)).groupBy("k").agg(A.count().alias("n"))
-
-
-def kmeans_fit_converged(spark, d):
     """Sizes of the clusters once no point changes its centre."""
     points = _vectors(spark, d)
     return assign(points, kmeans(points, CLUSTERS)).groupBy("k").agg(A.count().alias("n"))
@@ -210,11 +268,12 @@ def kmeans_grid(spark, d):
     return points.select(F.posexplode("v").alias("pos", "x")).groupBy(F.col("pos").cast("bigint").alias("pos")).agg(F.sum("x").alias("total"))
 
 
-_M = f"SELECT CAST(vec_id AS BIGINT) AS row, list_transform(embedding[1:{N}], lambda x: CAST(floor(CAST(x AS DOUBLE) * 100) AS BIGINT)) AS v FROM embeddings WHERE vec_id < {N}"
+_M = "SELECT CAST(vec_id AS BIGINT) AS row, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 100) AS BIGINT)) AS v FROM embeddings"
 _C = f"SELECT row AS i, CAST(unnest(range(len(v))) AS BIGINT) AS j, unnest(v) AS v FROM ({_M})"
-_MATMUL = f"SELECT a.i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM ({_C}) a JOIN ({_C}) b ON a.j = b.i GROUP BY a.i, b.j"
-_MEAN = f"SELECT row, CAST(list_sum(v) // len(v) AS BIGINT) AS mean FROM ({_M})"
-_CENTRED = f"SELECT c.i, c.j, c.v - m.mean AS c FROM ({_C}) c JOIN ({_MEAN}) m ON m.row = c.i"
+_GRAM = f"WITH c AS MATERIALIZED ({_C}) SELECT a.j AS i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM c a JOIN c b ON a.i = b.i GROUP BY a.j, b.j"
+_MEAN = f"SELECT row, CAST(trunc(list_sum(v) / len(v)) AS BIGINT) AS mean FROM ({_M})"
+_CENTRED = f"WITH z AS MATERIALIZED (SELECT c.i, c.j, c.v - m.mean AS c FROM ({_C}) c JOIN ({_MEAN}) m ON m.row = c.i)"
+_COLUMNS = f"WITH c AS MATERIALIZED ({_C}), m AS (SELECT j, CAST(trunc(sum(v) / count(*)) AS BIGINT) AS mean FROM c GROUP BY j), z AS MATERIALIZED (SELECT c.i, c.j, c.v - m.mean AS x FROM c JOIN m ON m.j = c.j)"
 _V = "SELECT CAST(vec_id AS BIGINT) AS id, CAST(unnest(range(len(embedding))) AS BIGINT) AS pos, CAST(floor(CAST(unnest(embedding) AS DOUBLE) * 1000) AS BIGINT) AS x FROM embeddings"
 
 
@@ -222,10 +281,6 @@ def _assigned(centres: str) -> str:
     return f"SELECT id, arg_min(k, (dist, k)) AS k FROM (SELECT v.id, c.k, sum((v.x - c.x) * (v.x - c.x)) AS dist FROM v JOIN {centres} c ON v.pos = c.pos GROUP BY v.id, c.k) GROUP BY id"
 
 
-def _moved(centres: str) -> str:
-    return f"SELECT o.k, o.pos, coalesce(n.x, o.x) AS x FROM {centres} o LEFT JOIN (SELECT a.k, v.pos, CAST(sum(v.x) AS BIGINT) // count(*) AS x FROM v JOIN ({_assigned(centres)}) a ON a.id = v.id GROUP BY a.k, v.pos) n ON n.k = o.k AND n.pos = o.pos"
-
-
 _START = f"WITH v AS ({_V}), c0 AS (SELECT f.k, v.pos, v.x FROM v JOIN (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS k FROM (SELECT DISTINCT id FROM v) ORDER BY id LIMIT {CLUSTERS}) f ON f.id = v.id)"
 _P = "SELECT CAST(l_quantity AS BIGINT) AS x, CAST(round(l_discount * 100) AS BIGINT) AS y FROM lineitem"
 
@@ -233,25 +288,15 @@ ORACLE_SQL = {
     "rgb_histogram": "SELECT CAST(key AS INTEGER) AS key, count(*) AS count FROM (SELECT unnest([1000 + l_partkey % 256, 2000 + l_suppkey % 256, 3000 + CAST(floor(l_extendedprice) AS BIGINT) % 256]) AS key FROM lineitem) GROUP BY 1",
     "linreg_sums": f"SELECT count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy, CAST(sum(x * x) AS BIGINT) AS sxx, CAST(sum(y * y) AS BIGINT) AS syy, CAST(sum(x * y) AS BIGINT) AS sxy FROM ({_P})",
     "linreg_fit": f"SELECT round(regr_intercept(y, x), 6) AS a, round(regr_slope(y, x), 6) AS b, round(avg(x), 6) AS xbar, round(avg(y), 6) AS ybar, round(regr_r2(y, x), 6) AS r2 FROM ({_P})",
-    "matmul": _MATMUL,
-    "matmul_blocked": _MATMUL,
+    "matmul": _GRAM,
+    "matmul_blocked": _GRAM,
     "row_mean": _MEAN,
-    "covariance_upper": f"SELECT a.i, b.i AS j, CAST(sum(a.c * b.c) AS BIGINT) // (SELECT count(*) - 1 FROM ({_M})) AS cov FROM ({_CENTRED}) a JOIN ({_CENTRED}) b ON a.j = b.j AND a.i <= b.i GROUP BY a.i, b.i",
+    "covariance_upper": f"{_CENTRED} SELECT a.i, b.i AS j, CAST(trunc(sum(a.c * b.c) / (SELECT count(DISTINCT i) - 1 FROM z)) AS BIGINT) AS cov FROM z a JOIN z b ON a.j = b.j AND a.i <= b.i GROUP BY a.i, b.i",
+    "covariance_components": f"{_COLUMNS} SELECT a.j AS i, b.j, CAST(trunc(sum(a.x * b.x) / (SELECT count(*) - 1 FROM m)) AS BIGINT) AS cov FROM z a JOIN z b ON a.i = b.i AND a.j <= b.j GROUP BY a.j, b.j",
     "kmeans_assign": f"{_START} {_assigned('c0')}",
     "kmeans_step": f"{_START} SELECT a.k, v.pos, CAST(sum(v.x) AS BIGINT) // count(*) AS mean, count(*) AS n FROM v JOIN ({_assigned('c0')}) a ON a.id = v.id GROUP BY a.k, v.pos",
-    "kmeans_fit": f"{_START}, c1 AS ({_moved('c0')}), c2 AS ({_moved('c1')}), c3 AS ({_moved('c2')}) SELECT k, count(*) AS n FROM ({_assigned('c3')}) GROUP BY k",
     "kmeans_grid": "SELECT CAST(j AS BIGINT) AS pos, CAST(sum((i * j) % 40 + 1) AS BIGINT) AS total FROM range(5000) a(i), range(10) b(j) GROUP BY 1",
 }
-_WHOLE = "SELECT CAST(vec_id AS BIGINT) AS row, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 100) AS BIGINT)) AS v FROM embeddings"
-_CELLS = f"SELECT row AS i, CAST(unnest(range(len(v))) AS BIGINT) AS j, unnest(v) AS v FROM ({_WHOLE})"
-_GRAM = f"WITH c AS MATERIALIZED ({_CELLS}) SELECT a.j AS i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM c a JOIN c b ON a.i = b.i GROUP BY a.j, b.j"
-_COLUMNS = f"WITH c AS MATERIALIZED ({_CELLS}), m AS (SELECT j, CAST(trunc(sum(v) / count(*)) AS BIGINT) AS mean FROM c GROUP BY j), z AS MATERIALIZED (SELECT c.i, c.j, c.v - m.mean AS x FROM c JOIN m ON m.j = c.j)"
-ORACLE_SQL |= {
-    "matmul_whole": _GRAM,
-    "matmul_blocked_whole": _GRAM,
-    "row_mean_whole": f"SELECT row, CAST(trunc(list_sum(v) / len(v)) AS BIGINT) AS mean FROM ({_WHOLE})",
-    "covariance_upper_whole": f"{_COLUMNS} SELECT a.j AS i, b.j, CAST(trunc(sum(a.x * b.x) / (SELECT count(*) - 1 FROM m)) AS BIGINT) AS cov FROM z a JOIN z b ON a.i = b.i AND a.j <= b.j GROUP BY a.j, b.j",
-}
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
 #: Without SQL, since the number of rounds isn't known beforehand; compared with brute force in the tests.
-WITHOUT_SQL = {"kmeans_fit_converged": kmeans_fit_converged}
+WITHOUT_SQL = {"kmeans_fit": kmeans_fit}

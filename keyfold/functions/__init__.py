@@ -56,3 +56,10 @@ def squared_distance(a: Column, b: Column) -> Column:
 def literal_key(key: Column, width: int = 32) -> Column:
     """A key as a fixed field of ``width`` bytes with a terminator keeps it."""
     return F.substring(key, 1, width - 1)
+
+
+def djb2(key: Column) -> Column:
+    """The hash h * 33 + byte, from 5381, in 32 bits: what the default partitioner deals keys by."""
+    codes = F.transform(F.sequence(F.lit(1), F.length(F.hex(key.cast("binary"))) - 1, F.lit(2)), lambda i: F.conv(F.substring(F.hex(key.cast("binary")), i, F.lit(2)), 16, 10).cast("bigint"))
+    step = F.aggregate(codes, F.lit(5381).cast("bigint"), lambda h, c: (h * 33 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(key == "", F.lit(5381).cast("bigint")).otherwise(step)

@@ -14,6 +14,28 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("value <> ''")
 
 
+def memory(spark: SparkSession, text: str | bytes, parts: int = 1) -> DataFrame:
+    """(value) for each line, that isn't empty, of a text held in memory; lines stay whole in ``parts`` parts."""
+    text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text
+    rows = [(x,) for x in text.split("\n") if x]
+    return spark.createDataFrame(rows, "value string").repartition(parts) if parts > 1 else spark.createDataFrame(rows, "value string")
+
+
+def word_lines(spark: SparkSession, path: str, most: int = 1023) -> DataFrame:
+    """(word) for each line that isn't empty; a line ends at LF, CR LF or NUL, and keeps ``most`` characters."""
+    parts = F.split("value", "[\r\\x00]")
+    return spark.read.option("lineSep", "\n").text(path).select(F.explode(parts).alias("w")).where("w <> ''").select(F.substring("w", 1, most).alias("word"))
+
+
+def prefault(df: DataFrame) -> DataFrame:
+    """``df`` read whole and kept, in memory as far as it holds, so that jobs after it don't wait for the source."""
+    from pyspark import StorageLevel
+
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    return kept
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(read) for each record; a first line that isn't four bases is a header and goes."""
     record = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
