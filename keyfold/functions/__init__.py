@@ -27,9 +27,11 @@ def digrams(tokens: Column) -> Column:
 
 
 def kmers(read: Column, k: int) -> Column:
-    """Windows of ``k`` bases, line ends and N taken out first; none for shorter reads."""
-    clean = F.translate(read, "\r\nN", "")
-    return F.when(F.length(clean) >= k, F.transform(F.sequence(F.lit(1), F.length(clean) - k + 1), lambda i: F.substring(clean, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """Windows of ``k`` bases, line ends and N taken out first; none for shorter reads.
+
+    By a look ahead at each place: a substring would count characters from the read's start each time.
+    """
+    return F.regexp_extract_all(F.translate(read, "\r\nN", ""), F.lit(f"(?=(.{{{k}}}))"), 1)
 
 
 def rotations(code: Column, n: int = 5, step: int = 4, length: int = 16) -> Column:
