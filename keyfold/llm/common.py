@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A broadcast never holds more bytes than this; larger tables are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -84,6 +85,32 @@ def keep_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if is_small(ids) else ids, ids.columns, f"left_{how}")
 
 
+def all_columns(docs: DataFrame) -> list:
+    """The columns of a table as they are called, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def first_rows(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """``docs`` with one row for each key (the columns) of ``again``: the longest text, then the least values in all columns.
+
+    Rows are ranked in part before they are shuffled, so a key may have any number of them.
+    """
+    if again.isEmpty():
+        return docs
+    rank, on = free_name(docs, "_rank"), again.columns
+    values = [F.char_length("text").desc_nulls_last(), *(c.cast("string") for c in all_columns(docs))]
+    many = keep_ids(docs, again, "semi").withColumn(rank, F.row_number().over(Window.partitionBy(*on).orderBy(*values))).where(F.col(rank) == 1)
+    return keep_ids(docs, again, "anti").unionByName(many.drop(rank))
+
+
 def attach(docs: DataFrame, lists: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """(docs joined with their row of ``lists``, the docs that have none).
 

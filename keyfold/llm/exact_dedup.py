@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, keep_ids, texts
+from .common import all_columns, checkpoint, first_rows, free_name, keep_ids, texts
 
 #: A digest is heavy if it holds more than 1 / SHARE of the rows; so many heavy ones there are at most.
 SHARE = 1024
@@ -53,9 +53,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts; columns as they were."""
-    gone = checkpoint(groups(docs).where(~F.col("kept")).select("doc_id"))
-    return keep_ids(docs, gone, "anti").select(*docs.columns)
+    """``docs`` with one row of each group of equal texts; columns as they were.
+
+    A repeated row goes like any other copy; rows that share an identifier but not a text are
+    told apart; empty texts are one group; rows without identifier go.
+    """
+    digest = free_name(docs, "_digest")
+    found = checkpoint(groups(docs).where("group_size > 1").select("doc_id", F.col("text_sha256").alias(digest), "kept"))
+    named = docs.where("doc_id is not null").withColumn(digest, F.sha2(normalised(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
+    out = keep_ids(named, found.where("not kept").select("doc_id", digest), "anti")
+    again = checkpoint(found.where("kept").groupBy("doc_id", digest).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", digest))
+    return first_rows(out, again).select(*all_columns(docs))
 
 
 def op2_heavy_hitters(spark, sf_dir: str) -> DataFrame:

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import Output, checkpoint, is_small, keep_ids, lookup, rows, texts
+from .common import Output, all_columns, checkpoint, first_rows, is_small, keep_ids, lookup, rows, texts
 from .components import components
 
 BATCH = 24
 #: Members of a bucket, and their shingles, that are held at once.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Partners that share a copy of their hub.
+PARTNERS = 64
 
 
 @dataclass(frozen=True)
@@ -290,7 +292,7 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "
     score = members.groupBy("doc_id").agg(F.sum("c").alias("score"))
     hubs = checkpoint(members.join(score, "doc_id").groupBy("key").agg(F.max(F.struct("score", "doc_id"))["doc_id"].alias("hub")))
     stars = lookup(members, hubs, "key").where("doc_id <> hub").groupBy("hub", "doc_id").agg(F.max("c").alias("c"))
-    stars = checkpoint(stars.select("hub", "doc_id", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BLOCK)).cast("int").alias("salt")))
+    stars = checkpoint(stars.select("hub", "doc_id", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / PARTNERS)).cast("int").alias("salt")))
     links = _verified(stars, features, docs, cfg)
     # Rows of one identifier belong together: their classes are linked.
     spread = narrow.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
@@ -304,9 +306,15 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "
 
 
 def drop_near_duplicates(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """``docs`` with one row of each component; columns as they were."""
-    gone = checkpoint(near_duplicates(docs, cfg).where(~F.col("kept")).select("doc_id"))
-    return keep_ids(docs, gone, "anti").select(*docs.columns)
+    """``docs`` with one row of each component; columns as they were.
+
+    Rows that share an identifier are one document, of which the longest text stays; texts
+    without words are linked with nothing and stay; rows without identifier go.
+    """
+    found = checkpoint(near_duplicates(docs, cfg).select("doc_id", "kept"))
+    out = keep_ids(docs.where("doc_id is not null"), found.where("not kept").select("doc_id").distinct(), "anti")
+    again = checkpoint(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    return first_rows(out, again).select(*all_columns(docs))
 
 
 def op1_minhash_bayes(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
-Pieces are dealt by hash to blocks of bounded size and each block is packed on its own: best fit,
-longest first, then exchanges between underfull bins (one for one, two for one, or a move), each
-raising the sum of squared fills, until no bin can be emptied or the block has as few bins as its
-tokens need.  A block can cost at most about one bin in thousands.
+Pieces are dealt by hash to blocks of bounded size and each block is packed: best fit, longest
+first, then exchanges between underfull bins (one for one, two for one, one for two, or a move),
+each raising the sum of squared fills, until bins empty and there are as few as the tokens need,
+or no exchange is left.  The least filled bins of all blocks, a sixteenth of their pieces, are then dealt to
+fewer blocks and packed anew, and so on until one block holds them all; so what a block leaves
+over is made up for by others.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Output, texts
+from .common import Output, checkpoint, texts
 from .tokens import encoded
 
-#: Documents a block holds on average.
-BLOCK_DOCS = 8192
+#: Pieces a block holds on average, and the share of them that it hands on.
+BLOCK_PIECES, HANDED = 2048, 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -71,77 +73,121 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-class _Offers:
-    """What each underfull bin could hand over for something larger: one item, two, or nothing (a
-    move).  Pairs are formed among a bin's sixteen largest items, which bounds the search alone."""
+def _bits(sizes: list[int]) -> tuple[int, int]:
+    """Sets, as bits of a number, of the sizes and of the sums of two."""
+    ones = twos = 0
+    for n in sizes:
+        twos |= ones << n
+        ones |= 1 << n
+    return ones, twos
 
-    def __init__(self, bins: dict[int, list[int]], lengths: list[int]):
-        self.lengths, self.what, self.at = lengths, [], {}
-        self.size, self.owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._extend(bins)
 
-    def _extend(self, bins: dict[int, list[int]]) -> None:
-        size, owner = [], []
-        for b, items in bins.items():
-            first = len(self.what)
-            few = sorted(items, key=lambda i: -self.lengths[i])[:16]
-            self.what += [(), *((i,) for i in items), *((i, j) for k, i in enumerate(few) for j in few[:k])]
-            size += [sum(self.lengths[i] for i in w) for w in self.what[first:]]
-            owner += [b] * (len(self.what) - first)
-            self.at[b] = (first, len(self.what))
-        self.size, self.owner = np.append(self.size, np.array(size, np.int64)), np.append(self.owner, np.array(owner, np.int64))
+def _each(bits: int) -> list[int]:
+    """Members of a set, largest first."""
+    out = []
+    while bits:
+        n = bits.bit_length() - 1
+        out.append(n)
+        bits ^= 1 << n
+    return out
 
-    def drop(self, b: int) -> None:
-        a, z = self.at.pop(b)
-        self.size[a:z] = 1 << 40  # never less than what is given
 
-    def renew(self, b: int, items: list[int]) -> None:
-        self.drop(b)
-        self._extend({b: items})
+def _least_from(bits: int, low: int) -> int | None:
+    """The least member from ``low`` on."""
+    bits >>= low
+    return low + (bits & -bits).bit_length() - 1 if bits else None
+
+
+class _Search:
+    """Bins by number; sizes in a bin, and sums of two, as sets in which one lookup finds the best partner of a size."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.bins = dict(enumerate(map(list, bins)))
+        self.fill, self.sets = {}, {}
+        for b in self.bins:
+            self._count(b)
+
+    def _count(self, b: int) -> None:
+        sizes = [self.lengths[i] for i in self.bins[b]]
+        if sizes:
+            self.fill[b], self.sets[b] = sum(sizes), _bits(sizes)
+        else:
+            del self.bins[b], self.fill[b], self.sets[b]
+
+    def best(self, source: int, order: list[int]) -> tuple[int, int, int, int] | None:
+        """(gain, target, what goes, what comes back) of the exchange that raises squared fill most.
+
+        ``order`` holds the underfull bins, the emptiest first: what a target gains is bounded by
+        its room, so the search ends when no later one can do better.
+        """
+        room = self.capacity - self.fill[source]
+        ones, twos = (_each(x) for x in self.sets[source])
+        best = None
+        for t in order:
+            free = self.capacity - self.fill[t]
+            if t == source:
+                continue
+            if best and 2 * free * room <= best[0]:
+                break
+            one, two = self.sets[t]
+            for sizes, back in ((ones, one | two | 1), (twos, one | 1)):
+                for out in sizes:
+                    came = _least_from(back, max(0, out - free))
+                    if came is None or came >= out:
+                        continue
+                    d = out - came
+                    gain = 2 * d * (self.fill[t] - self.fill[source] + d)
+                    if gain > 0 and (best is None or gain > best[0]):
+                        best = gain, t, out, came
+                    if d == free:
+                        break
+        return best
+
+    def _take(self, b: int, size: int) -> list[int]:
+        """One item of ``size``, or two that make it up; none for nothing."""
+        if not size:
+            return []
+        at: dict[int, int] = {}
+        for i in self.bins[b]:
+            n = self.lengths[i]
+            if n == size:
+                return [i]
+            at.setdefault(n, i)
+        seen: dict[int, int] = {}
+        for i in self.bins[b]:
+            n = self.lengths[i]
+            if size - n in seen:
+                return [seen[size - n], i]
+            seen[n] = i
+        raise KeyError(size)
+
+    def exchange(self, source: int, target: int, out: int, back: int) -> None:
+        goes, comes = self._take(source, out), self._take(target, back)
+        self.bins[source] = [i for i in self.bins[source] if i not in goes] + comes
+        self.bins[target] = [i for i in self.bins[target] if i not in comes] + goes
+        self._count(source)
+        self._count(target)
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Exchange items between underfull bins while squared fill rises, emptying the least filled.
 
-    Each exchange hands one or two items of the least filled bin to another for less, or for
-    nothing; ends when the bins are as few as their tokens need or the least filled can hand
-    nothing on.
+    A bin hands one or two items to another for one, two or none of less together.  The least
+    filled bin that has any such exchange makes the best one; ends when the bins are as few as
+    their tokens need, or no bin has one.
     """
-    fewest, n = -(-sum(lengths) // capacity), len(bins)
-    fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
-    if n <= fewest:
-        return bins
-    offers = _Offers({b: bins[b] for b in range(n) if fill[b] < capacity}, lengths)
-    while n > fewest and len(offers.at) > 1:
-        source = min(offers.at, key=lambda b: (fill[b], b))
-        items = sorted(bins[source], key=lambda i: -lengths[i])
-        best = None
-        for out in [*((i,) for i in items[:16]), *((i, j) for k, i in enumerate(items[:6]) for j in items[:k])]:
-            d = sum(lengths[i] for i in out) - offers.size
-            at = np.flatnonzero((d > 0) & (d <= capacity - fill[offers.owner]) & (offers.owner != source))
-            if len(at):
-                gain = 2 * d[at] * (fill[offers.owner[at]] - fill[source] + d[at])
-                k = int(np.argmax(gain))
-                if gain[k] > 0 and (best is None or gain[k] > best[0]):
-                    best = int(gain[k]), out, int(at[k]), int(d[at[k]])
-        if best is None:
-            break
-        _, out, k, d = best
-        target, back = int(offers.owner[k]), offers.what[k]
-        bins[source] = [i for i in bins[source] if i not in out] + list(back)
-        bins[target] = [i for i in bins[target] if i not in back] + list(out)
-        fill[source] -= d
-        fill[target] += d
-        if fill[target] == capacity:
-            offers.drop(target)
-        else:
-            offers.renew(target, bins[target])
-        if fill[source]:
-            offers.renew(source, bins[source])
+    fewest, at = -(-sum(lengths) // capacity), _Search(bins, lengths, capacity)
+    while len(at.bins) > fewest:
+        order = sorted((b for b in at.bins if at.fill[b] < capacity), key=lambda b: (at.fill[b], b))
+        for source in order:
+            found = at.best(source, order)
+            if found:
+                at.exchange(source, *found[1:])
+                break
         else:
-            offers.drop(source)
-            n -= 1
-    return [b for b in bins if b]
+            break
+    return list(at.bins.values())
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -152,35 +198,56 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     return whole + [[part[i] for i in b] for b in local_search(best_fit(short, capacity), short, capacity)]
 
 
-def pack(pieces: DataFrame, n_blocks: int, capacity: int = 2048) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and others) with sequence_id and offset."""
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    salted = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_blocks)).cast("int"))
+def _packed(pieces: DataFrame, level: int, n_blocks: int, capacity: int) -> DataFrame:
+    """``pieces`` with sequence_id, offset and ``handed``: whether the bin is one to be packed anew."""
+    schema = pieces.schema.add("sequence_id", "long").add("offset", "long").add("handed", "boolean")
+    salted = pieces.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(n_blocks)).cast("int"))
 
     def place(t: pa.Table) -> pa.Table:
         # in a fixed order, so that a task that runs again numbers alike
         t = t.sort_by([(c, "ascending") for c in ("doc_id", "piece", "length")])
         block = t.column("_block")[0].as_py()
         lengths = t.column("length").to_pylist()
-        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for k, items in enumerate(pack_lengths(lengths, capacity)):
+        sequence, offset, handed = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
+        bins, left = pack_lengths(lengths, capacity), len(lengths) // HANDED if n_blocks > 1 else 0
+        fills = [sum(lengths[i] for i in b) for b in bins]
+        for k in sorted(range(len(bins)), key=lambda k: (fills[k], k)):
             at = 0
-            for i in items:
-                sequence[i], offset[i] = (block << 32) + k, at
+            for i in bins[k]:
+                sequence[i], offset[i] = (level << 58) + (block << 28) + k, at
                 at += lengths[i]
-        return t.drop_columns(["_block"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+            if left > 0 and fills[k] < capacity:
+                handed[bins[k]] = True
+                left -= len(bins[k])
+        t = t.drop_columns(["_block"]).append_column("sequence_id", pa.array(sequence))
+        return t.append_column("offset", pa.array(offset)).append_column("handed", pa.array(handed))
+
+    return checkpoint(salted.groupBy("_block").applyInArrow(place, schema))
+
 
-    return salted.groupBy("_block").applyInArrow(place, schema)
+def pack(pieces: DataFrame, n_pieces: int, capacity: int = 2048, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """``pieces`` (doc_id, piece, length and others; about ``n_pieces``) with sequence_id and offset."""
+    blocks, level, done = max(1, -(-n_pieces // block_pieces)), 0, None
+    while True:
+        placed = _packed(pieces, level, blocks, capacity)
+        kept = placed.where("not handed").drop("handed")
+        done = kept if done is None else done.unionByName(kept)
+        if blocks == 1:
+            return done
+        pieces = placed.where("handed").drop("sequence_id", "offset", "handed")
+        # A bin more than the share may go on with each block; blocks fall all the same.
+        blocks, level = min(-(-blocks // 2), max(1, -(-pieces.count() // block_pieces))), level + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each document.
 
-    Ids stay where they were made; only lengths and digests are shuffled.  An empty table gives
-    no rows.
+    Ids stay where they were made; only lengths and digests are shuffled.  A null or empty text is
+    one piece, ``end_id`` alone; rows without identifier are left out; repeated rows are
+    documents each; an empty table gives no rows.
     """
     pieces = token_pieces(docs, tokenizer, capacity, end_id).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(pieces, max(1, -(-docs.count() // BLOCK_DOCS)), capacity)
+    return pack(pieces, docs.count(), capacity)
 
 
 def op4_best_fit(spark, sf_dir: str) -> DataFrame:

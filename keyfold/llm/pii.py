@@ -1,19 +1,22 @@
 """Personal data by candidate generation and gradient-boosted selection, in SQL functions alone.
 
-Generators with high recall propose spans: the four base kinds (rules decide those) and looser
-forms of phone numbers, account and identity numbers and spelled-out addresses.  Boosted trees
-score a looser span by its format and the text beside it; a threshold calibrated on examples set
-aside selects it.  The trees are fitted on a small table of made examples and become one SQL
-expression, so texts never leave the JVM.
+Generators with high recall propose overlapping spans: the four base kinds (rules decide those),
+looser forms of phone, account and identity numbers and spelled-out addresses, and secrets:
+assigned values, long keys, keys with a known beginning.  Boosted trees score a looser span by its
+format and the text beside it; a threshold for each generator, calibrated on examples set aside,
+selects it.  The trees become one SQL expression, so texts never leave the JVM.
+
+No table labels personal data, so the trees are fitted on made spans of either class, set into
+places of the documents' own text: at most CARRIERS documents lend one each.
 """
 
 from __future__ import annotations
 
-import functools
 import random
+import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,26 +33,57 @@ LOCAL_PHONE = r"(?<![0-9+A-Za-z])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{3
 IDENTITY = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])"
 SPELLED = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}\x20(?:at|\[at\]|\(at\))\x20[A-Za-z0-9-]{1,63}(?:\x20(?:dot|\[dot\]|\(dot\))\x20[A-Za-z0-9-]{1,63}){1,4}"
-
-#: (kind, pattern, what a text must hold for the pattern to be tried).
-GENERATORS = [("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, ""), ("phone", PHONE, "+"), ("phone", LOCAL_PHONE, ""), ("identity", IDENTITY, "-"), ("account", ACCOUNT, ""), ("email", SPELLED, "dot")]
-BASE = 4
-SIDE = 24
-
-FEATURES = ["generator", "length", "digits", "capitals", "gaps", "dots", "dashes", "brackets", "alike", "near_person", "near_thing", "touched_left", "touched_right"]
-_PERSON = r"(?i)(?:phone|tel|call|mobile|cell|fax|contact|reach|ssn|social|iban|account|konto|cuenta|compte|mail|write|whatsapp|sms|telefon|móvil|portable)[^\n]{0,16}$"
-_THING = r"(?i)(?:version|order|invoice|isbn|part|model|serial|page|room|item|ticket|build|ref|no\.|#|\$|€|=|/)[^\n]{0,8}$"
+NAMED = r"(?i:token|secret|passw(?:or)?d|passwd|pwd|passphrase|key|auth|bearer|credential)[\"']?\x20{0,2}[=:]{1,2}\x20{0,2}[\"']?"
+ASSIGNED = NAMED + r"[^\x20\x09-\x0D\"',;<>()]{6,}+"
+LONG_KEY = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}"
+PREFIXED = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|xoxb-|xoxp-|eyJ)[A-Za-z0-9_.+/-]{12,}+"
+DIGITS = r"(?<![0-9A-Za-z.,+-])[0-9]{8,18}+(?![0-9A-Za-z-])"
+
+#: (kind, pattern, what a text must hold one of for the pattern to be tried).
+GENERATORS = [
+    ("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, ""), ("phone", PHONE, "+"),
+    ("phone", LOCAL_PHONE, ""), ("identity", IDENTITY, "-"), ("account", ACCOUNT, ""), ("email", SPELLED, "dot"),
+    ("secret", ASSIGNED, "=:"), ("secret", LONG_KEY, ""), ("secret", PREFIXED, ""), ("account", DIGITS, ""),
+]
+BASE, VALUE_OF = 4, 8
+NEEDS_DIGIT = {1, 2, 3, 4, 5, 6, 11}
+SIDE = 32
+#: Documents that lend a place of their text to made examples.
+CARRIERS = 500
+
+# Words beside a span that speak for personal data, for a secret, and against either.
+PERSON = r"(?i)(?:phone|tel|call|mobile|cell|fax|contact|reach|ssn|social|iban|account|acct|passport|konto|cuenta|compte|mail|write|whatsapp|sms|telefon|portable)[^\n]{0,16}$"
+SECRET = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|passphrase|key|auth|bearer|credential)[^A-Za-z\n]{0,6}$"
+THING = r"(?i)(?:version|order|invoice|isbn|part|model|serial|page|room|item|ticket|build|ref|commit|sha1|sha256|md5|checksum|digest|hash|id|no\.|#|\$|/)[^A-Za-z\n]{0,8}$"
+SPECIMEN = r"(?i)^(?:your|my|the|xxx|example|changeme|placeholder|none|null|true|false|env|os\.|process|https?:|[./~])"
+
+#: Features: patterns counted in a span, then patterns looked for in its left side, itself, its right side.
+COUNTS = {"digits": "[0-9]", "capitals": "[A-Z]", "smalls": "[a-z]", "vowels": "[aeiou]", "gaps": r"\x20", "dots": r"\.", "dashes": "[-_/]", "brackets": r"[()\[\]]", "turns": "[a-zA-Z][0-9]|[0-9][a-zA-Z]"}
+LOOKS = {"near_person": ("left", PERSON), "near_secret": ("left", SECRET), "near_thing": ("left", THING), "quoted": ("left", "[\"']$"), "touched_left": ("left", "[A-Za-z0-9]$"), "alike": ("m", r"^(.)\1*$"), "hex": ("m", "^[0-9a-f]*$"), "specimen": ("m", SPECIMEN), "touched_right": ("right", "^[A-Za-z0-9%]")}
+FEATURES = ["generator", "length", *COUNTS, *LOOKS]
+
+_CANDIDATES = "array<struct<g:int,k:int,skip:bigint,m:string,left:string,right:string>>"
 
 
 def _spans(text: Column, i: int) -> Column:
-    """What generator ``i`` finds: the length of the text before each match, since the last, and the match."""
+    """What generator ``i`` finds: the length of the text before each match, since the last, the match and its sides."""
     _, pattern, needs = GENERATORS[i]
     found, apart = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.split(text, pattern, -1)
-    each = F.transform(F.arrays_zip(found.alias("m"), F.slice(apart, F.lit(1), F.size(found)).alias("before"), F.slice(apart, F.lit(2), F.size(found)).alias("after")), lambda x, k: F.struct(F.lit(i).alias("g"), k.alias("k"), F.char_length(x.before).cast("long").alias("skip"), x.m.alias("m"), F.right(x.before, F.lit(SIDE)).alias("left"), F.left(x.after, F.lit(SIDE)).alias("right")))
-    may = text.contains(needs) if needs else F.lit(True)
-    if i not in (0, 7):
+    pairs = F.arrays_zip(found.alias("m"), F.slice(apart, F.lit(1), F.size(found)).alias("before"), F.slice(apart, F.lit(2), F.size(found)).alias("after"))
+
+    def one(x, k):
+        m, before = x.m, x.before
+        if i == VALUE_OF:  # the value alone; its name goes to the left
+            m = F.regexp_replace(x.m, "^" + NAMED, "")
+            before = F.concat(before, F.left(x.m, F.char_length(x.m) - F.char_length(m)))
+        return F.struct(F.lit(i).alias("g"), k.alias("k"), F.char_length(before).cast("long").alias("skip"), m.alias("m"), F.right(before, F.lit(SIDE)).alias("left"), F.left(x.after, F.lit(SIDE)).alias("right"))
+
+    may = F.lit(True)
+    if needs:
+        may = text.contains(needs) if needs != "=:" else text.contains("=") | text.contains(":")
+    if i in NEEDS_DIGIT:
         may = may & text.rlike("[0-9]")
-    return F.when(may, each).otherwise(F.array().cast("array<struct<g:int,k:int,skip:bigint,m:string,left:string,right:string>>"))
+    return F.when(may, F.transform(pairs, one)).otherwise(F.array().cast(_CANDIDATES))
 
 
 def _digits(m: Column) -> Column:
@@ -75,9 +109,9 @@ def _base_rule() -> Column:
 
 def _features(df: DataFrame) -> DataFrame:
     """``df`` (g, m, left, right) with the features of each span."""
-    m, count = F.col("m"), lambda p: F.regexp_count("m", F.lit(p)).cast("double")
-    values = [F.col("g").cast("double"), F.char_length("m").cast("double"), count("[0-9]"), count("[A-Z]"), count(r"\x20"), count(r"\."), count("-"), count(r"[()\[\]]"), _digits(m).rlike(r"^([0-9])\1*$").cast("double"), F.col("left").rlike(_PERSON).cast("double"), F.col("left").rlike(_THING).cast("double"), F.col("left").rlike(r"[\p{L}0-9]$").cast("double"), F.col("right").rlike(r"^[\p{L}0-9%]").cast("double")]
-    return df.withColumns(dict(zip(FEATURES, values)))
+    counts = {n: F.regexp_count("m", F.lit(p)).cast("double") for n, p in COUNTS.items()}
+    looks = {n: F.col(side).rlike(p).cast("double") for n, (side, p) in LOOKS.items()}
+    return df.withColumns({"generator": F.col("g").cast("double"), "length": F.char_length("m").cast("double"), **counts, **looks})
 
 
 def as_sql(trees: Trees) -> Column:
@@ -96,73 +130,114 @@ def as_sql(trees: Trees) -> Column:
     return out
 
 
-def examples(n: int = 1200, seed: int = 5) -> list[tuple[int, str, str, str, int]]:
-    """(generator, left, match, right, label): spans as the looser generators propose them, made from templates."""
+_FILLER = ["and then it was the same as before", "in the course of the day", "for all of them to see"]
+
+
+def carriers(docs: DataFrame, most: int = CARRIERS) -> list[str]:
+    """A place of each of at most ``most`` documents, chosen by a hash of the identifier."""
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - 64, F.lit(1))).cast("int")
+    got = docs.join(F.broadcast(ids), "doc_id").select(F.substring("text", at + 1, F.lit(64)).alias("t")).collect()
+    return sorted(r.t for r in got if len(r.t.split()) > 4) or _FILLER
+
+
+def examples(places: list[str], n: int = 4800, seed: int = 5) -> list[tuple[int, str, str, str, int]]:
+    """(generator, left, match, right, label): made spans as the looser generators propose them, in places of given text."""
     r = random.Random(seed)
-    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    w = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 8)))
-    person = ["call ", "phone: ", "tel. ", "my mobile is ", "contact ", "SSN ", "social security number ", "IBAN ", "account ", "write to ", "mail me: "]
-    thing = ["version ", "order ", "invoice ", "ISBN ", "part ", "model ", "serial ", "page ", "item ", "ref ", "= ", "$", "build "]
+    pick = lambda chars, a, z=None: "".join(r.choice(chars) for _ in range(r.randint(a, z or a)))
+    d = lambda a, z=None: pick("0123456789", a, z)
+    w = lambda: pick("aeioulnrst", 2, 8)
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    person = ["call ", "phone: ", "tel. ", "my mobile is ", "contact ", "SSN ", "social security number ", "IBAN ", "account ", "acct no ", "passport ", "write to ", "mail me: "]
+    thing = ["version ", "order ", "invoice ", "ISBN ", "part ", "model ", "serial ", "page ", "item ", "ref ", "commit ", "sha256: ", "md5 ", "checksum ", "build ", "#", "id "]
+    naming = ["token = ", "token: ", "api_key=", "secret = ", "password: ", "auth: ", "access key: ", "Bearer: "]
+    slug = lambda sep, k: sep.join(w() for _ in range(k))
     out = []
     for _ in range(n):
-        private = r.random() < 0.5
-        g = r.choice([4, 5, 6, 7])
+        yes, g, ahead, after = r.random() < 0.5, r.randrange(BASE, len(GENERATORS)), "", " "
+        around = r.choice(["", "", w() + " "])
         if g == 4:
-            m = r.choice(["({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}"]).format(d(3), d(3), d(4)) if private or r.random() < 0.3 else r.choice(["{} {} {}", "{}.{}.{}", "{}-{}-{}"]).format(d(r.randint(2, 4)), d(3), d(3))
+            m = r.choice(["({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}"]).format(d(3), d(3), d(4)) if yes or r.random() < 0.3 else r.choice(["{} {} {}", "{}.{}.{}", "{}-{}-{}"]).format(d(2, 4), d(3), d(3))
+            ahead = r.choice([*person, around]) if yes and m[0] == "(" else r.choice(person) if yes else r.choice([*thing, around])
         elif g == 5:
-            m = f"{d(3)}-{d(2)}-{d(4)}"
+            m, ahead = f"{d(3)}-{d(2)}-{d(4)}", r.choice(person) if yes else r.choice([*thing, around])
         elif g == 6:
-            m = r.choice(["DE", "FR", "ES", "GB"]) + d(2) + " ".join(d(4) for _ in range(r.randint(3, 5))) if private else r.choice(["AB", "XR", "ZZ"]) + d(2) + "".join(r.choice("ABCDEF0123456789") for _ in range(12))
+            m = r.choice(["DE", "FR", "ES", "GB"]) + d(2) + " ".join(d(4) for _ in range(r.randint(3, 5))) if yes else r.choice(["AB", "XR", "ZZ"]) + d(2) + pick("ABCDEF0123456789", 12)
+            ahead = r.choice(person) if yes else r.choice([*thing, around])
+        elif g == 7:
+            m = f"{w()}.{w()} {r.choice(['at', '(at)', '[at]'])} {w()} {r.choice(['dot', '(dot)', '[dot]'])} {r.choice(['com', 'org', 'net'])}" if yes else f"{w()} at {w()} dot {w()}"
+            ahead = r.choice(person) if yes else around
+        elif g == 8:
+            quote = r.choice(["", "", '"', "'"])
+            ahead, after = r.choice(naming) + quote, quote + " "
+            m = r.choice([pick(hexes, 24, 64), pick(mixed, 16, 48), pick(mixed, 4, 8) + r.choice("!#%&*") + d(2, 4)]) if yes else r.choice([w() + w() + w(), slug("-", 2), slug("_", 3), "your_" + slug("_", 2), "xxxxxxxx", "example-" + w(), "https://" + slug(".", 2), "./" + slug("/", 3), "os.environ", "placeholder", d(6, 9)])
+        elif g == 9:
+            m = r.choice([pick(hexes, 32, 64), pick(mixed, 24, 64)]) if yes or r.random() < 0.3 else r.choice([slug("-", 6), slug("_", 6), slug("/", 6), "-" * 30, "_" * 40, "/" * 24, "+-" * 16, w() * 8, d(20, 40), slug("-", 5) + "-" + d(4)])
+            m = m if len(m) >= 20 else m + "-" + slug("-", 8)
+            ahead = r.choice(naming) + r.choice(["", '"']) if yes else r.choice([*thing, around, around])
+        elif g == 10:
+            head = r.choice(["AKIA", "ghp_", "sk-", "sk_live_", "AIza", "xoxb-", "glpat-", "eyJ"])
+            m = head + (pick(mixed, 16, 48) if yes else slug("-", 4) + slug("-", 2))
+            ahead = r.choice([*naming, around, around]) if yes else around
         else:
-            m = f"{w()}.{w()} {r.choice(['at', '(at)', '[at]'])} {w()} {r.choice(['dot', '(dot)', '[dot]'])} {r.choice(['com', 'org', 'net'])}" if private else f"{w()} at {w()} dot {w()}"
-        left = w() + " " + (r.choice(person) if private else r.choice([*thing, w() + " ", ""]))
-        out.append((g, left[-SIDE:], m, r.choice([" ", ".", ", "]) + w(), int(private)))
+            m, ahead = d(8, 18), r.choice(["account ", "acct no ", "IBAN ", "passport ", "konto ", "SSN "]) if yes else r.choice([*thing, around, around, around])
+        place = r.choice(places)
+        cut = place.find(" ", r.randrange(max(1, len(place) // 2))) + 1
+        out.append((g, (place[:cut] + ahead)[-SIDE:], m, (after + place[cut:])[:SIDE], int(yes)))
     return out
 
 
-@functools.lru_cache(maxsize=4)
-def _model(spark: SparkSession, precision: float) -> tuple[Trees, float]:
-    """Trees, and the margin from which spans are selected: the least that keeps ``precision`` on examples set aside."""
-    made = examples()
-    quoted = ", ".join("({}, '{}', '{}', '{}', {})".format(g, *(x.replace("\\", "\\\\").replace("'", "\\'") for x in (left, m, right)), y) for g, left, m, right, y in made)
-    table = _features(spark.sql(f"SELECT * FROM VALUES {quoted} AS t(g, left, m, right, y)")).select(*FEATURES, "y").collect()
+def train(docs: DataFrame, precision: float) -> tuple[Trees, list[float]]:
+    """Trees, and for each generator the least margin that keeps ``precision`` on examples set aside."""
+    made = examples(carriers(docs))
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join(f"({g}, {quoted(left)}, {quoted(m)}, {quoted(right)}, {y})" for g, left, m, right, y in made)
+    table = _features(docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(g, left, m, right, y)")).select(*FEATURES, "y").collect()
     x, y = np.array([[r[c] for c in FEATURES] for r in table]), np.array([r["y"] for r in table])
     aside = np.arange(len(y)) % 3 == 0
-    trees = fit(x[~aside], y[~aside], n_trees=24, depth=3, rate=0.3)
-    margin = trees.margin(x[aside])
-    order = np.argsort(-margin, kind="stable")
-    right = np.cumsum(y[aside][order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(right >= precision)
-    return trees, float(margin[order][good[-1]]) if len(good) else float("inf")
-
-
-def find(docs: DataFrame, precision: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    trees = fit(x[~aside], y[~aside], n_trees=16, depth=3, rate=0.4)
+    margin, least = trees.margin(x[aside]), [0.0] * BASE
+    for g in range(BASE, len(GENERATORS)):
+        mine = x[aside][:, 0] == g
+        order = np.argsort(-margin[mine], kind="stable")
+        m = margin[mine][order]
+        right = np.cumsum(y[aside][mine][order]) / np.arange(1, len(m) + 1)
+        good = np.flatnonzero((right >= precision) & np.append(m[1:] < m[:-1], True))
+        least.append(float(m[good[-1]]) if len(good) else float("inf"))
+    return trees, least
+
+
+def find(docs: DataFrame, precision: float = 0.98, id_col: str = "doc_id", text_col: str = "text", model: tuple[Trees, list[float]] | None = None) -> DataFrame:
     """(doc_id, found) for each row of ``docs``: the spans in order of start and kind.
 
     ``found`` holds kind, start, end (code points, end exclusive) and base: whether a rule or the
-    classifier selected it.  Base spans of different kinds may overlap; an added span that
-    overlaps a base span, or begins inside an earlier added one, goes.  Null and empty texts have
-    no spans; rows that share an identifier are read each; rows without identifier are left out.
+    classifier selected it.  Base spans of different kinds may overlap.  A selected span that
+    overlaps a base span goes; selected spans that overlap are one span, of the kind that
+    scored highest.  Null and empty texts have no spans; rows that share an identifier are read
+    each; rows without identifier are left out.
     """
     docs = texts(docs, id_col, text_col)
+    trees, least = model or train(docs, precision)
     read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*(_spans(F.col("text"), i) for i in range(len(GENERATORS)))).alias("each"))
     read = checkpoint(read)
     each = read.select("row", F.explode_outer("each").alias("e")).where("e is not null").select("row", "e.*")
     so_far = Window.partitionBy("row", "g").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("skip") + F.char_length("m")).over(so_far)).withColumn("start", F.col("end") - F.char_length("m"))
-    base = each.where(F.col("g") < BASE).where(_base_rule()).withColumn("base", F.lit(True))
-    trees, least = _model(docs.sparkSession, precision)
-    added = _features(each.where(F.col("g") >= BASE)).where(as_sql(trees) >= least).withColumn("base", F.lit(False))
-    columns = ["row", "g", "start", "end", "base"]
-    both = base.select(*columns).unionByName(added.select(*columns))
-    # The reach of base spans that begin before or here, the next base span, the reach of earlier added ones.
-    before = Window.partitionBy("row").orderBy("start", F.desc("base"), "g").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("row").orderBy("start", F.desc("base"), "g").rowsBetween(1, Window.unboundedFollowing)
-    reach = F.max(F.when(F.col("base"), F.col("end"))).over(before)
-    nearest = F.min(F.when(F.col("base"), F.col("start"))).over(after)
-    earlier = F.max(F.when(~F.col("base"), F.col("end"))).over(before)
-    both = both.withColumns({"reach": reach, "next": nearest, "earlier": earlier})
-    both = both.where("base or (coalesce(reach, 0) <= start and coalesce(next, end) >= end and coalesce(earlier, 0) <= start)")
+    base = each.where(F.col("g") < BASE).where(_base_rule()).select("row", "g", "start", "end", F.lit(True).alias("base"), F.lit(0.0).alias("margin"))
+    enough = F.element_at(F.array(*(F.lit(x) for x in least)), F.col("g") + 1)
+    added = _features(each.where(F.col("g") >= BASE)).withColumn("margin", as_sql(trees)).where(F.col("margin") >= enough)
+    both = base.unionByName(added.select("row", "g", "start", "end", F.lit(False).alias("base"), "margin"))
+    # How far base spans that begin before reach, and where the next begins; frames that only grow.
+    order = [F.col("start"), F.desc("base"), F.col("g"), F.col("end")]
+    back = [F.desc("start"), F.col("base"), F.desc("g"), F.desc("end")]
+    before, after = (Window.partitionBy("row").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (order, back))
+    both = both.withColumn("reach", F.max(F.when(F.col("base"), F.col("end"))).over(before)).withColumn("next", F.min(F.when(F.col("base"), F.col("start"))).over(after))
+    both = both.where("base or (coalesce(reach, 0) <= start and coalesce(next, end) >= end)")
+    # Runs of selected spans that overlap.
+    run = both.where("not base").withColumn("opens", (F.coalesce(F.max("end").over(before), F.lit(0)) <= F.col("start")).cast("int"))
+    run = run.withColumn("run", F.sum("opens").over(Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    united = run.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.struct("margin", (-F.col("g")).alias("back")))["back"].alias("back"))
+    both = both.where("base").select("row", "g", "start", "end", "base").unionByName(united.select("row", (-F.col("back")).alias("g"), "start", "end", F.lit(False).alias("base")))
     name = F.array(*(F.lit(g[0]) for g in GENERATORS))
     one = F.struct("start", "g", F.get(name, F.col("g")).alias("kind"), "end", "base")
     found = both.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("found"))
@@ -175,11 +250,41 @@ def _joined(found: Column) -> Column:
 
 
 def op3_candidate_boosting(spark, sf_dir: str) -> DataFrame:
-    """Contract query: base counts and digest, and all spans."""
+    """Contract query: base counts and digest, all spans, and how many there are and were added."""
     out = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("found", lambda s: s.base)
     n = [F.size(F.filter("found", lambda s, i=i: s.base & (s.g == i))).cast("long").alias(f"n_{GENERATORS[i][0]}") for i in range(BASE)]
-    return out.select("doc_id", *n, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+    return out.select("doc_id", *n, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"), (F.size("found") - F.size(base)).cast("long").alias("n_added"))
+
+
+def brute_force_added(text: str | None, model: tuple[Trees, list[float]]) -> list[tuple[str, int, int]]:
+    """The added spans of one text by the definition, for tests."""
+    trees, least = model
+    text, picked = text or "", []
+    base = [(a, z) for _, a, z in brute_force(text)]
+    for g in range(BASE, len(GENERATORS)):
+        for found in re.finditer(GENERATORS[g][1], text):
+            a, z = found.span()
+            if g == VALUE_OF:
+                a += re.match(NAMED, found.group()).end()
+            m = text[a:z]
+            # the sides stop at the generator's own neighbouring matches
+            others = [x.span() for x in re.finditer(GENERATORS[g][1], text)]
+            lo = max([e for _, e in others if e <= found.start()], default=0)
+            hi = min([s for s, _ in others if s >= z], default=len(text))
+            part = {"left": text[lo:a][-SIDE:], "m": m, "right": text[z:hi][:SIDE]}
+            x = [g, len(m), *(len(re.findall(p, m)) for p in COUNTS.values()), *(float(bool(re.search(p, part[s]))) for s, p in LOOKS.values())]
+            margin = float(trees.margin(np.array([x], float))[0])
+            if margin >= least[g] and not any(s < z and a < e for s, e in base):
+                picked.append((a, z, margin, g))
+    out: list[list] = []
+    for a, z, margin, g in sorted(picked, key=lambda s: (s[0], s[3], s[1])):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+            out[-1][2] = max(out[-1][2], (margin, -g))
+        else:
+            out.append([a, z, (margin, -g)])
+    return [(GENERATORS[-k][0], a, z) for a, z, (_, k) in out]
 
 
 def brute_force(text: str | None) -> list[tuple[str, int, int]]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
-from .common import Output, checkpoint, keep_ids, rows, texts
+from .common import Output, all_columns, checkpoint, free_name, keep_ids, rows, texts
 from .labelled import held_out, training_rows
 
 #: Most labelled rows that training reads.
@@ -47,20 +47,22 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _scored(docs: DataFrame, model: Trees) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    """(doc_id, var, score): ``var`` is a hash of the text, which tells apart rows that share an identifier."""
+    schema = pa.schema([("doc_id", pa.int64()), ("var", pa.int32()), ("score", pa.float64())])
 
     def score(batches):
-        ids, found = [], []
-        for doc, text in rows(batches, "doc_id", "text"):
+        ids, vars_, found = [], [], []
+        for doc, var, text in rows(batches, "doc_id", "var", "text"):
             ids.append(doc)
+            vars_.append(var)
             found.append(statistics(text))
             if len(ids) == 2048:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.score(np.array(found)))], schema=schema)
-                ids, found = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vars_, pa.int32()), pa.array(model.score(np.array(found)))], schema=schema)
+                ids, vars_, found = [], [], []
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.score(np.array(found)))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vars_, pa.int32()), pa.array(model.score(np.array(found)))], schema=schema)
 
-    return docs.mapInArrow(score, "doc_id long, score double")
+    return docs.select("doc_id", F.hash("text").alias("var"), "text").mapInArrow(score, "doc_id long, var int, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> Trees:
@@ -93,10 +95,17 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those the classifier rejects; columns as they were."""
-    gone = checkpoint(classify(docs, labels).where("predicted = 0").select("doc_id"))
-    return keep_ids(docs, gone, "anti").select(*docs.columns)
+def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without those the classifier rejects; columns as they were.
+
+    Rows that share an identifier are judged each by its own text; repeated rows stay or go
+    together; empty texts are scored like any other; rows without identifier go.
+    """
+    var = free_name(docs, "_var")
+    scored = _scored(texts(docs), train(docs, labels))
+    gone = checkpoint(scored.where(F.col("score") < threshold).select("doc_id", F.col("var").alias(var)).distinct())
+    named = docs.where("doc_id is not null").withColumn(var, F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return keep_ids(named, gone, "anti").select(*all_columns(docs))
 
 
 def op10_boosted_trees(spark, sf_dir: str) -> DataFrame:

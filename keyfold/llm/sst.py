@@ -26,19 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Output, checkpoint, checkpoint_dir, partitions_for, text_bytes, texts
+from .common import Output, checkpoint, checkpoint_dir, partitions_for, remove_folder, text_bytes, texts
 from .rolling import mix
 from .tokens import encoded
 
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
+#: Text that a task encodes: about a shard's worth, and less where there is little.
+TASK_BYTES, LEAST_BYTES = 256 << 20, 16 << 20
 MAGIC = b"KFSST001"
 INDEX = np.dtype([("key", ">u8"), ("offset", "<u8"), ("bytes", "<u4"), ("entries", "<u4"), ("before", "<u8")])
 FOOTER = struct.Struct("<QQQQQQI8s")  # index at, blocks, filter at, filter bytes, documents, ids, id width
 ENTRY = struct.Struct("<BI")
 PROBES = 7
 
-MANIFEST = "path string, first long, documents long, ids long"
+MANIFEST = "path string, part int, nth int, first long, last long, documents long, ids long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -49,6 +51,10 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
+def shard_name(root: str, part: int, nth: int) -> str:
+    return f"{root}/shard-{part:06d}-{nth:04d}.sst"
+
+
 def settle(files: pa.fs.FileSystem, name: str, final: str) -> None:
     """Give a finished file its final name; where an earlier attempt left the same file, that one stays."""
 
@@ -68,6 +74,10 @@ def key_of(doc_id: int) -> int:
     return doc_id + (1 << 63)
 
 
+def doc_of(key: int) -> int:
+    return key - (1 << 63)
+
+
 def bloom_bits(keys: np.ndarray, n_bits: int) -> np.ndarray:
     """Places of each key's bits, one row a key."""
     one, two = mix(keys.astype(np.uint64)), mix(keys.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
@@ -128,13 +138,13 @@ class Shard:
             raise ValueError(f"{path} is no shard of token ids")
         self.index = np.frombuffer(self.file.read_at(blocks * INDEX.itemsize, index_at), INDEX)
         self.starts = self.index["key"].tolist()
-        self.bloom_at, self.bloom_bytes = bloom_at, bloom_bytes
+        self.bloom_at, self.bloom_bytes, self.bloom = bloom_at, bloom_bytes, b""
 
     def close(self) -> None:
         self.file.close()
 
     def may_contain(self, doc_id: int) -> bool:
-        data = self.file.read_at(self.bloom_bytes, self.bloom_at)
+        data = self.bloom = self.bloom or self.file.read_at(self.bloom_bytes, self.bloom_at)
         n_bits = int.from_bytes(data[:8], "little")
         at = bloom_bits(np.array([key_of(doc_id)], np.uint64), n_bits)[0].astype(np.int64)
         return all(data[8 + (a >> 3)] >> (7 - (a & 7)) & 1 for a in at.tolist())
@@ -150,7 +160,7 @@ class Shard:
             at += 8 - shared
             ids = np.frombuffer(data, f"<u{self.width}", n // self.width, at)
             at += n
-            yield int.from_bytes(key, "big") - (1 << 63), before, ids
+            yield doc_of(int.from_bytes(key, "big")), before, ids
             before += len(ids)
 
     def __iter__(self) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -181,7 +191,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     task that runs again, or twice, leaves the same files.
     """
     docs = texts(docs, id_col, text_col)
-    schema = pa.schema([("path", pa.string()), ("first", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64())])
+    spark = docs.sparkSession
+    schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("nth", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64())])
 
     def write(batches):
         from .tokens import shared
@@ -194,9 +205,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
 
         def done():
             writer.close()
-            final = f"{root}/shard-{part:06d}-{len(out.columns[0]):04d}.sst"
+            final = shard_name(root, part, len(out.columns[0]))
             settle(files, name, final)
-            out.add(final, first, len(writer.keys), writer.ids)
+            out.add(final, part, len(out.columns[0]), first, doc_of(writer.keys[-1]), len(writer.keys), writer.ids)
 
         for doc, ids in encoded(batches, tokenizer):
             if writer is None:
@@ -210,16 +221,31 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
             done()
         yield from out.rest()
 
-    ordered = docs.repartitionByRange(partitions_for(text_bytes(docs), SHARD_BYTES // 4), "doc_id").sortWithinPartitions("doc_id", "text")
+    total = text_bytes(docs)
+    parts = max(partitions_for(total, TASK_BYTES), min(4 * spark.sparkContext.defaultParallelism, partitions_for(total, LEAST_BYTES)))
+    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return checkpoint(ordered.mapInArrow(write, MANIFEST))
 
 
+#: Parts of a manifest whose shards are placed together.
+TOGETHER = 1024
+
+
+def placed(manifest: DataFrame) -> DataFrame:
+    """``manifest`` with start, the ids of all shards before: sums of many parts first, then within each of them."""
+    groups = manifest.withColumn("many", F.expr(f"part div {TOGETHER}"))
+    sums = groups.groupBy("many").agg(F.sum("ids").alias("of_many"))
+    ahead = Window.orderBy("many").rowsBetween(Window.unboundedPreceding, -1)  # one row for TOGETHER parts
+    within = Window.partitionBy("many").orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("many", F.coalesce(F.sum("of_many").over(ahead), F.lit(0)).alias("ahead"))
+    return groups.join(sums, "many").withColumn("start", F.col("ahead") + F.coalesce(F.sum("ids").over(within), F.lit(0))).drop("many", "ahead")
+
+
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, out of the files; ids are little-endian
     unsigned 32-bit, start counts the ids of all documents before."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    before = F.sum("ids").over(Window.orderBy("first", "path").rowsBetween(Window.unboundedPreceding, -1))
-    placed = manifest.select("path", F.coalesce(before, F.lit(0)).alias("start")).repartition(max(1, manifest.count()))
+    each = placed(manifest).select("path", "start").repartition(max(1, manifest.count()))
 
     def read(batches):
         files, _ = filesystem(folder)
@@ -234,13 +260,59 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 shard.close()
         yield from out.rest()
 
-    return placed.mapInArrow(read, DOCUMENTS)
+    return each.mapInArrow(read, DOCUMENTS)
+
+
+def find_documents(manifest: DataFrame, folder: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, ids) of the wanted documents that the shards hold, each looked up by filter, index and one block.
+
+    Where rows shared an identifier, the ids of the first; null and unknown identifiers give no
+    row.  The identifiers that bound each shard, a few numbers for SHARD_BYTES of ids, are
+    broadcast to find the shard of each wanted one.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    shards = manifest.select("first", "last", "part", "nth").orderBy("part", "nth").toArrow()
+    bounds = manifest.sparkSession.sparkContext.broadcast([shards.column(c).to_numpy() for c in shards.column_names])
+
+    def route(batches):
+        first, last, part, nth = bounds.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            at = np.searchsorted(last, ids)  # the first shard that reaches as far
+            inside = at < len(last)
+            inside[inside] = first[at[inside]] <= ids[inside]
+            at, ids = at[inside], ids[inside]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(part[at]), pa.array(nth[at])], names=["doc_id", "part", "nth"])
+
+    def look(batches):
+        files, root = filesystem(folder)
+        out, shard, at = Output(schema), None, None
+        for batch in batches:
+            for doc, part, nth in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "nth"))):
+                if at != (part, nth):
+                    if shard is not None:
+                        shard.close()
+                    shard, at = Shard(files, shard_name(root, part, nth)), (part, nth)
+                ids = shard.get(doc)
+                if ids is not None:
+                    out.add(doc, ids.astype("<u4").tobytes())
+                    if out.full():
+                        yield out.take()
+        if shard is not None:
+            shard.close()
+        yield from out.rest()
+
+    ids = wanted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    asked = ids.mapInArrow(route, "doc_id long, part int, nth int").repartition("part", "nth").sortWithinPartitions("part", "nth", "doc_id")
+    return asked.mapInArrow(look, "doc_id long, ids binary")
 
 
 def op7_sorted_string_table(spark, sf_dir: str) -> DataFrame:
-    """Contract query: write the shards into the shared folder, read them back, digest the ids."""
+    """Contract query: write the shards into the shared folder, read them back, digest the ids, delete the shards."""
     import public_tokenizers
 
     folder = f"{checkpoint_dir(spark)}/sst-{uuid.uuid4().hex}"
     manifest = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("word_bpe_49k.json"))
-    return read_shards(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    out = checkpoint(read_shards(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+    remove_folder(spark, folder)
+    return out

@@ -3,24 +3,31 @@
 Confirmed toxic texts are the positives; everything else, labelled or not, is unlabelled.  With
 class prior p the risk of a scorer is p E+[l(+)] + max(0, Eu[l(-)] - p E+[l(-)]): the second part
 estimates the risk on negatives from unlabelled text, and is kept from turning negative, which is
-where such learners overfit.  The scorer is linear in the distinct words of a text.
+where such learners overfit.  The prior is estimated from the same two samples.  The scorer is
+linear in the distinct words of a text and their stems; its weights lower the risk with a smooth
+loss, its decision point the same risk with errors counted.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import Output, rows, texts
+from .common import Output, checkpoint, keep_ids, rows, texts
 from .labelled import held_out, training_rows
 
 #: Most confirmed toxic texts, and most unlabelled ones, that training reads.
 POSITIVES, UNLABELLED = 8_000, 16_000
-#: A word is a feature if so many training texts hold it.
-LEAST_TEXTS = 5
+#: A word is a feature if so many training texts hold it, one of them toxic; so many words at most,
+#: those that most toxic texts hold; and so many words of texts at most reach the driver.
+LEAST_TEXTS, MOST_WORDS, MOST_ENTRIES = 5, 1 << 16, 4_000_000
+#: Bytes of a word that are its stem.
+STEM = 5
 THRESHOLD = 0.5
 
 _LETTER = np.zeros(256, bool)
@@ -28,7 +35,7 @@ _LETTER[97:123] = _LETTER[65:91] = _LETTER[128:] = True
 
 
 def word_set(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's runs of letters, A-Z lower-cased."""
+    """Sorted distinct 64-bit hashes of a text's runs of letters, A-Z lower-cased, and of their stems."""
     data = R.LOWER[np.frombuffer(text, np.uint8)]
     solid = np.zeros(len(data) + 2, np.int8)
     solid[1:-1] = _LETTER[data]
@@ -37,7 +44,10 @@ def word_set(text: bytes) -> np.ndarray:
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     for i in range(0, len(starts), 1 << 18):
         a, z = starts[i], ends[min(i + (1 << 18), len(ends)) - 1]
-        out.append(np.unique(R.word_values(data[a:z], starts[i : i + (1 << 18)] - a, ends[i : i + (1 << 18)] - a)))
+        s, e = starts[i : i + (1 << 18)] - a, ends[i : i + (1 << 18)] - a
+        out.append(np.unique(R.word_values(data[a:z], s, e)))
+        long = e - s >= STEM
+        out.append(np.unique(~R.word_values(data[a:z], s[long], s[long] + STEM)))
     return np.unique(np.concatenate(out))
 
 
@@ -77,69 +87,109 @@ def _descend(column: np.ndarray, owner: np.ndarray, n_words: int, positive: np.n
     return w, bias
 
 
-def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l1: float = 1.5e-4) -> Words:
-    """A linear scorer from positive and unlabelled sets of words.
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from the margins of both.
+
+    Above any cut the unlabelled hold at least that share times what the positives hold there, so
+    it is at most the least ratio of the two; cuts that fewer than a fifth of the positives reach
+    say little and are left out.
+    """
+    cuts = np.quantile(positive, np.linspace(0, 0.8, 41))
+    p = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
+    return float(np.clip((u / p).min(), 0.001, 0.9))
+
+
+def decision_point(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The cut of least non-negative risk with errors counted; of equal risks the middle of the widest gap."""
+    m = np.unique(np.concatenate([positive, unlabelled]))
+    cuts = np.concatenate([[m[0] - 1], (m[1:] + m[:-1]) / 2, [m[-1] + 1]])
+    missed = np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
+    taken = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
+    risk = prior * missed + np.maximum(0, taken - prior * (1 - missed))
+    gap = np.concatenate([[0], np.diff(m), [0]])
+    best = np.flatnonzero(risk <= risk.min() + 1e-9)
+    return float(cuts[best[np.argmax(gap[best])]])
+
 
-    Words that no positive text holds are no features, and shrinkage leaves few of the others.
-    Shrunk weights underrate positives, so the bias is set last, by the class prior: about that
-    share of the unlabelled texts reaches one half.
+def fit(column: np.ndarray, owner: np.ndarray, vocabulary: np.ndarray, positive: np.ndarray, steps: int = 200, rate: float = 0.05, l1: float = 1.5e-4) -> Words:
+    """A linear scorer from positive and unlabelled texts: which word of ``vocabulary`` (``column``) which text (``owner``) holds.
+
+    A first fit, with a guessed prior, ranks texts to estimate the prior; the second is the scorer.
+    Without positives or without unlabelled texts the score is near 0 for all.
     """
-    none = Words(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    if not positive.any() or positive.all():
-        return none
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    vocabulary, column, texts_with = np.unique(flat, return_inverse=True, return_counts=True)
-    used = (texts_with >= LEAST_TEXTS) & (np.bincount(column, positive[owner], len(vocabulary)) > 0)
-    if not used.any():
-        return none
-    keep = used[column]
-    vocabulary, column, owner = vocabulary[used], (np.cumsum(used) - 1)[column[keep]], owner[keep]
-    weights, _ = _descend(column, owner, len(vocabulary), positive, prior, steps, rate, l1)
-    margin = np.bincount(owner, weights[column], len(positive))[~positive]
-    return Words(vocabulary[weights != 0], weights[weights != 0], -_cut(margin, prior))
-
-
-def _cut(margins: np.ndarray, prior: float) -> float:
-    """Where to cut so that about ``prior`` of the margins lie above: the middle of the widest gap nearby."""
-    m = np.sort(margins)
-    lo, hi = (min(len(m) - 1, max(0, round(len(m) * (1 - prior * k)) - 1)) for k in (1.15, 0.85))
-    near = m[lo : hi + 2]
-    if len(near) < 2:
-        return float(m[lo])
-    k = int(np.argmax(np.diff(near)))
-    return float((near[k] + near[k + 1]) / 2)
+    if not positive.any() or positive.all() or not len(vocabulary):
+        return Words(np.zeros(0, np.uint64), np.zeros(0), -5.0)
+    prior = 0.1
+    for _ in range(2):
+        weights, _ = _descend(column, owner, len(vocabulary), positive, prior, steps, rate, l1)
+        margin = np.bincount(owner, weights[column], len(positive))
+        prior = class_prior(margin[positive], margin[~positive])
+    cut = decision_point(margin[positive], margin[~positive], prior)
+    return Words(vocabulary[weights != 0], weights[weights != 0], -cut)
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Words:
-    """Fit on bounded samples, chosen by a hash of the identifier, of rows that are not held out."""
-    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.binary())])
+    """Fit on bounded samples, chosen by a hash of the identifier, of rows that are not held out.
+
+    Words are counted on the executors; the driver gets the vocabulary and, for each text, the
+    places in it of the words that the text holds, MOST_ENTRIES in all.  Beyond that, texts are left out,
+    in order of the hash.
+    """
     toxic = labels.where("toxic = 1")
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
-    total, bad = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
-    prior = min(0.9, max(0.001, bad / total)) if total else 0.01
+    pos = training_rows(docs, toxic, "toxic", positives).select(F.lit(1).alias("label"), "doc_id", "text")
+    ids = texts(docs).select("doc_id").where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
+    sample = pos.unionByName(texts(docs).join(F.broadcast(ids), "doc_id").select(F.lit(0).alias("label"), "doc_id", "text"))
+    schema = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("words", pa.list_(pa.int64()))])
 
     def words(batches):
-        out = Output(schema)
-        for doc, text in rows(batches, "doc_id", "text"):
-            out.add(doc, word_set(text).tobytes())
+        out = Output(schema, most_rows=256)
+        for label, doc, text in rows(batches, "label", "doc_id", "text"):
+            out.add(label, doc, pa.array(word_set(text).view(np.int64)))
             if out.full():
                 yield out.take()
         yield from out.rest()
 
-    pos = training_rows(docs, toxic, "toxic", positives).select("doc_id", "text")
-    ids = texts(docs).select("doc_id").where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
-    got = [(1, r) for r in pos.mapInArrow(words, "doc_id long, words binary").collect()]
-    got += [(0, r) for r in texts(docs).join(F.broadcast(ids), "doc_id").mapInArrow(words, "doc_id long, words binary").collect()]
-    got.sort(key=lambda x: (x[0], x[1]["doc_id"], x[1]["words"]))
-    return fit([np.frombuffer(r["words"], np.uint64) for _, r in got], np.array([k for k, _ in got], bool), prior)
+    sets = checkpoint(sample.mapInArrow(words, "label int, doc_id long, words array<long>"))
+    held = sets.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
+    few = held.where((F.col("n") >= LEAST_TEXTS) & (F.col("toxic") > 0)).orderBy(F.desc("toxic"), "word").limit(MOST_WORDS).select("word")
+    vocabulary = np.sort(few.toArrow().column("word").to_numpy().astype(np.int64).view(np.uint64))
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def places(batches):
+        out = Output(pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("places", pa.binary())]))
+        for batch in batches:
+            lists = batch.column("words")
+            for i, (label, doc) in enumerate(zip(batch.column("label").to_pylist(), batch.column("doc_id").to_pylist())):
+                x = lists[i].values.to_numpy().view(np.uint64)
+                at = np.searchsorted(known.value, x)
+                at = at[known.value[np.minimum(at, len(known.value) - 1)] == x] if len(known.value) else at[:0]
+                out.add(label, doc, len(at), at.astype("<u4").tobytes())
+                if out.full():
+                    yield out.take()
+        yield from out.rest()
+
+    sparse = checkpoint(sets.mapInArrow(places, "label int, doc_id long, n long, places binary"))
+    if (sparse.agg(F.sum("n")).first()[0] or 0) > MOST_ENTRIES:
+        sizes = sorted((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.n) for r in sparse.select("doc_id", "n").collect())
+        first, total = [], 0
+        for _, doc, n in sizes:
+            total += n
+            if total > MOST_ENTRIES:
+                break
+            first.append((doc,))
+        sparse = keep_ids(sparse, docs.sparkSession.createDataFrame(first, "doc_id long"), "semi")
+    got = sorted((r["label"], r["doc_id"], bytes(r["places"])) for r in sparse.select("label", "doc_id", "places").collect())
+    column = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, "<u4") for _, _, p in got)]).astype(np.int64)
+    owner = np.repeat(np.arange(len(got)), [len(p) // 4 for _, _, p in got])
+    return fit(column, owner, vocabulary, np.array([k for k, _, _ in got], bool))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
     Null and empty texts have no words and get the score of the bias; rows without identifier are
-    left out; repeated rows are scored each.  Without a confirmed toxic text every score is the
-    class prior.
+    left out; repeated rows are scored each.  Without a confirmed toxic text every score is near 0.
     """
     model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
