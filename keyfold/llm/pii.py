@@ -39,14 +39,15 @@ LONG_KEY = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}"
 PREFIXED = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|xoxb-|xoxp-|eyJ)[A-Za-z0-9_.+/-]{12,}+"
 DIGITS = r"(?<![0-9A-Za-z.,+-])[0-9]{8,18}+(?![0-9A-Za-z-])"
 
-#: (kind, pattern, what a text must hold one of for the pattern to be tried).
+BEGINNINGS = "AKIA|ASIA|AIza|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|xoxb-|xoxp-|eyJ"
+
+#: (kind, pattern, what any text with a match holds: a string, or a pattern read once; whether that has digits).
 GENERATORS = [
-    ("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, ""), ("phone", PHONE, "+"),
-    ("phone", LOCAL_PHONE, ""), ("identity", IDENTITY, "-"), ("account", ACCOUNT, ""), ("email", SPELLED, "dot"),
-    ("secret", ASSIGNED, "=:"), ("secret", LONG_KEY, ""), ("secret", PREFIXED, ""), ("account", DIGITS, ""),
+    ("email", EMAIL, "@", False), ("ip", IP, "[0-9]\\.[0-9]+\\.[0-9]+\\.[0-9]", True), ("card", CARD, "[0-9](?:[\\x20-]?[0-9]){11}", True), ("phone", PHONE, "+", True),
+    ("phone", LOCAL_PHONE, "[0-9]{3}[\\x20.-][0-9]{3}", True), ("identity", IDENTITY, "[0-9]{3}-[0-9]{2}-[0-9]{4}", True), ("account", ACCOUNT, "[A-Z]{2}[0-9]{2}", True), ("email", SPELLED, "dot", False),
+    ("secret", ASSIGNED, NAMED, False), ("secret", LONG_KEY, "(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20}", False), ("secret", PREFIXED, f"(?:{BEGINNINGS})[A-Za-z0-9_.+/-]{{12}}", False), ("account", DIGITS, "[0-9]{8}", True),
 ]
 BASE, VALUE_OF = 4, 8
-NEEDS_DIGIT = {1, 2, 3, 4, 5, 6, 11}
 SIDE = 32
 #: Documents that lend a place of their text to made examples.
 CARRIERS = 500
@@ -67,7 +68,7 @@ _CANDIDATES = "array<struct<g:int,k:int,skip:bigint,m:string,left:string,right:s
 
 def _spans(text: Column, i: int) -> Column:
     """What generator ``i`` finds: the length of the text before each match, since the last, the match and its sides."""
-    _, pattern, needs = GENERATORS[i]
+    _, pattern, holds, digits = GENERATORS[i]
     found, apart = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("m"), F.slice(apart, F.lit(1), F.size(found)).alias("before"), F.slice(apart, F.lit(2), F.size(found)).alias("after"))
 
@@ -78,11 +79,8 @@ def _spans(text: Column, i: int) -> Column:
             before = F.concat(before, F.left(x.m, F.char_length(x.m) - F.char_length(m)))
         return F.struct(F.lit(i).alias("g"), k.alias("k"), F.char_length(before).cast("long").alias("skip"), m.alias("m"), F.right(before, F.lit(SIDE)).alias("left"), F.left(x.after, F.lit(SIDE)).alias("right"))
 
-    may = F.lit(True)
-    if needs:
-        may = text.contains(needs) if needs != "=:" else text.contains("=") | text.contains(":")
-    if i in NEEDS_DIGIT:
-        may = may & text.rlike("[0-9]")
+    may = text.rlike(holds) if set(holds) & set("[(?") else text.contains(holds)
+    may = F.col("digits") & may if digits else may
     return F.when(may, F.transform(pairs, one)).otherwise(F.array().cast(_CANDIDATES))
 
 
@@ -218,15 +216,18 @@ def find(docs: DataFrame, precision: float = 0.98, id_col: str = "doc_id", text_
     """
     docs = texts(docs, id_col, text_col)
     trees, least = model or train(docs, precision)
-    read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*(_spans(F.col("text"), i) for i in range(len(GENERATORS)))).alias("each"))
-    read = checkpoint(read)
+    # Each step is written down: an optimiser that saw them as one would write the patterns out into every node of the trees.
+    read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.col("text").rlike("[0-9]").alias("digits"))
+    read = checkpoint(read.select("row", "doc_id", F.concat(*(_spans(F.col("text"), i) for i in range(len(GENERATORS)))).alias("each")))
     each = read.select("row", F.explode_outer("each").alias("e")).where("e is not null").select("row", "e.*")
     so_far = Window.partitionBy("row", "g").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("skip") + F.char_length("m")).over(so_far)).withColumn("start", F.col("end") - F.char_length("m"))
+    each = checkpoint(each.select("row", "g", "start", "end", "m", "left", "right"))
     base = each.where(F.col("g") < BASE).where(_base_rule()).select("row", "g", "start", "end", F.lit(True).alias("base"), F.lit(0.0).alias("margin"))
+    measured = checkpoint(_features(each.where(F.col("g") >= BASE)).select("row", "g", "start", "end", *FEATURES))
     enough = F.element_at(F.array(*(F.lit(x) for x in least)), F.col("g") + 1)
-    added = _features(each.where(F.col("g") >= BASE)).withColumn("margin", as_sql(trees)).where(F.col("margin") >= enough)
-    both = base.unionByName(added.select("row", "g", "start", "end", F.lit(False).alias("base"), "margin"))
+    added = checkpoint(measured.select("row", "g", "start", "end", F.lit(False).alias("base"), as_sql(trees).alias("margin"))).where(F.col("margin") >= enough)
+    both = checkpoint(base.unionByName(added))
     # How far base spans that begin before reach, and where the next begins; frames that only grow.
     order = [F.col("start"), F.desc("base"), F.col("g"), F.col("end")]
     back = [F.desc("start"), F.col("base"), F.desc("g"), F.desc("end")]
