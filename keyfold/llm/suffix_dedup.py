@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from . import rolling as R
 from .common import Output, attach, buckets_for, checkpoint, intervals, is_small, keep_ids, partitions_for, rows, text_bytes
-from .repeats import DOCUMENT, HOT, as_runs, hot_keys, is_in, named_texts, recurring_anchors, settle_pieces, unpack
+from .repeats import DOCUMENT, as_runs, hot_keys, is_in, named_texts, recurring_anchors, settle_pieces, unpack
 from .suffix_sort import repeated
 
 BUCKET_BYTES = 6 << 20
+#: A gram with more places than this is hot: its pieces alone could fill half a bucket.
+HOT = 8192
 #: Places of the gram in a window that go together when a hot gram is split; a multiple of eight.
 STEP = 24
 
