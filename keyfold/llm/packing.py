@@ -201,6 +201,8 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
 def _packed(pieces: DataFrame, level: int, n_blocks: int, capacity: int) -> DataFrame:
     """``pieces`` with sequence_id, offset and ``handed``: whether the bin is one to be packed anew."""
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long").add("handed", "boolean")
+    # Blocks are little data and much work, so they aren't left to be coalesced.
+    tasks = min(n_blocks, max(4 * pieces.sparkSession.sparkContext.defaultParallelism, n_blocks // 64))
     salted = pieces.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(n_blocks)).cast("int"))
 
     def place(t: pa.Table) -> pa.Table:
@@ -222,7 +224,7 @@ def _packed(pieces: DataFrame, level: int, n_blocks: int, capacity: int) -> Data
         t = t.drop_columns(["_block"]).append_column("sequence_id", pa.array(sequence))
         return t.append_column("offset", pa.array(offset)).append_column("handed", pa.array(handed))
 
-    return checkpoint(salted.groupBy("_block").applyInArrow(place, schema))
+    return checkpoint(salted.repartition(tasks, "_block").groupBy("_block").applyInArrow(place, schema))
 
 
 def pack(pieces: DataFrame, n_pieces: int, capacity: int = 2048, block_pieces: int = BLOCK_PIECES) -> DataFrame:
