@@ -23,11 +23,14 @@ from .labelled import held_out, training_rows
 
 #: Most confirmed toxic texts, and most unlabelled ones, that training reads.
 POSITIVES, UNLABELLED = 8_000, 16_000
-#: A word is a feature if so many training texts hold it, one of them toxic; so many words at most,
-#: those that most toxic texts hold; and so many words of texts at most reach the driver.
-LEAST_TEXTS, MOST_WORDS, MOST_ENTRIES = 5, 1 << 16, 4_000_000
-#: Bytes of a word that are its stem.
-STEM = 5
+#: A word is a feature if so many toxic training texts hold it, and more than unlabelled ones do by so
+#: many standard deviations; so many words at most, those that deviate most; and so many words of
+#: texts at most reach the driver.
+LEAST_TEXTS, DEVIATIONS, MOST_WORDS, MOST_ENTRIES = 5, 5.0, 1 << 13, 4_000_000
+#: Parts, each of which is judged by a scorer of the others, to estimate the prior and the decision point.
+FOLDS = 4
+#: Bytes of a word that are its stems.
+STEMS = (5,)
 THRESHOLD = 0.5
 
 _LETTER = np.zeros(256, bool)
@@ -46,8 +49,8 @@ def word_set(text: bytes) -> np.ndarray:
         a, z = starts[i], ends[min(i + (1 << 18), len(ends)) - 1]
         s, e = starts[i : i + (1 << 18)] - a, ends[i : i + (1 << 18)] - a
         out.append(np.unique(R.word_values(data[a:z], s, e)))
-        long = e - s >= STEM
-        out.append(np.unique(~R.word_values(data[a:z], s[long], s[long] + STEM)))
+        for n in STEMS:
+            out.append(np.unique(~R.word_values(data[a:z], s[e - s >= n], s[e - s >= n] + n)))
     return np.unique(np.concatenate(out))
 
 
@@ -101,31 +104,42 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def decision_point(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
-    """The cut of least non-negative risk with errors counted; of equal risks the middle of the widest gap."""
+    """The cut of least non-negative risk with errors counted; of risks that the sample can't tell apart (half a
+    standard error), the middle of the widest gap."""
     m = np.unique(np.concatenate([positive, unlabelled]))
     cuts = np.concatenate([[m[0] - 1], (m[1:] + m[:-1]) / 2, [m[-1] + 1]])
     missed = np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
     taken = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
     risk = prior * missed + np.maximum(0, taken - prior * (1 - missed))
     gap = np.concatenate([[0], np.diff(m), [0]])
-    best = np.flatnonzero(risk <= risk.min() + 1e-9)
+    least = risk.min()
+    best = np.flatnonzero(risk <= least + 0.5 * np.sqrt(max(least, 1 / len(unlabelled)) / len(unlabelled)) + 1e-9)
     return float(cuts[best[np.argmax(gap[best])]])
 
 
 def fit(column: np.ndarray, owner: np.ndarray, vocabulary: np.ndarray, positive: np.ndarray, steps: int = 200, rate: float = 0.05, l1: float = 1.5e-4) -> Words:
     """A linear scorer from positive and unlabelled texts: which word of ``vocabulary`` (``column``) which text (``owner``) holds.
 
-    A first fit, with a guessed prior, ranks texts to estimate the prior; the second is the scorer.
-    Without positives or without unlabelled texts the score is near 0 for all.
+    The prior and the decision point are estimated from margins that a scorer of other texts
+    gives: first with a guessed prior, then with the estimate.  Without positives, unlabelled
+    texts or features the score is near 0 for all.
     """
-    if not positive.any() or positive.all() or not len(vocabulary):
+    if min(positive.sum(), (~positive).sum()) < 2 * FOLDS or not len(vocabulary):
         return Words(np.zeros(0, np.uint64), np.zeros(0), -5.0)
+    fold = np.zeros(len(positive), np.int64)
+    for k in (True, False):
+        fold[positive == k] = np.arange((positive == k).sum()) % FOLDS
     prior = 0.1
     for _ in range(2):
-        weights, _ = _descend(column, owner, len(vocabulary), positive, prior, steps, rate, l1)
-        margin = np.bincount(owner, weights[column], len(positive))
+        margin = np.zeros(len(positive))
+        for k in range(FOLDS):
+            kept, mine = fold != k, fold == k
+            use = kept[owner]
+            weights, _ = _descend(column[use], (np.cumsum(kept) - 1)[owner[use]], len(vocabulary), positive[kept], prior, steps, rate, l1)
+            margin[mine] = np.bincount(owner, weights[column], len(positive))[mine]
         prior = class_prior(margin[positive], margin[~positive])
     cut = decision_point(margin[positive], margin[~positive], prior)
+    weights, _ = _descend(column, owner, len(vocabulary), positive, prior, steps, rate, l1)
     return Words(vocabulary[weights != 0], weights[weights != 0], -cut)
 
 
@@ -151,8 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         yield from out.rest()
 
     sets = checkpoint(sample.mapInArrow(words, "label int, doc_id long, words array<long>"))
+    size = {r.label: r["n"] for r in sets.groupBy("label").agg(F.count("*").alias("n")).collect()}
     held = sets.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-    few = held.where((F.col("n") >= LEAST_TEXTS) & (F.col("toxic") > 0)).orderBy(F.desc("toxic"), "word").limit(MOST_WORDS).select("word")
+    expected = (F.col("n") - F.col("toxic") + 1) / (size.get(0, 0) + 1) * size.get(1, 0)
+    held = held.where(F.col("toxic") >= LEAST_TEXTS).withColumn("far", (F.col("toxic") - expected) / F.sqrt(expected)).where(F.col("far") >= DEVIATIONS)
+    few = held.orderBy(F.desc("far"), "word").limit(MOST_WORDS).select("word")
     vocabulary = np.sort(few.toArrow().column("word").to_numpy().astype(np.int64).view(np.uint64))
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
