@@ -50,6 +50,15 @@ def test_near_duplicates_of_many_variants(spark):
     assert rows_of(got) == near_dup.brute_force(docs, 85)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_sets_heavy_keys_apart(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 200)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 5)
+    df = spark.createDataFrame([(i % 3 if i < 300 else i, i) for i in range(500)], "k long, v long")
+    unique = spark.createDataFrame([(i, str(i)) for i in range(450) if i != 2], "k long, name string")
+    assert rows_of(common.lookup(df, unique, "k", how).na.fill("")) == rows_of(df.join(unique, "k", how).na.fill(""))
+
+
 def thue_morse(n, a, b):
     """On which sums of powers modulo a power of two collide, whatever their base."""
     return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
