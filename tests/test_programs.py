@@ -1,5 +1,6 @@
 """Each program from its file or generator to its rows, the command line, job kinds, merges of one's own."""
 
+import hashlib
 import json
 import struct
 from collections import Counter
@@ -206,6 +207,12 @@ def test_djb2(spark, key):
     assert spark.createDataFrame([(key,)], "k string").select(K.djb2(F.col("k"))).first()[0] == want
 
 
+def test_digests_of_keys(spark):
+    key = "a key ü"
+    got = spark.createDataFrame([(key,)], "k string").select(F.md5(F.col("k").cast("binary")), F.sha1(F.col("k").cast("binary"))).first()
+    assert tuple(got) == (hashlib.md5(key.encode()).hexdigest(), hashlib.sha1(key.encode()).hexdigest())
+
+
 def test_a_merge_of_ones_own(spark):
     rows = [(f"k{i % 7}", i) for i in range(1000)] + [("hot", i) for i in range(3000)] + [(None, 5)]
     df = spark.createDataFrame(rows, "key string, value long").repartition(5)
