@@ -44,6 +44,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fewer_parts(df: DataFrame, parts: int) -> DataFrame:
+    """A quarter of the ``parts`` that ``df`` has, at least two for each core, without a shuffle: for light work on
+    tables much smaller than what they come from.  Each part of a checkpoint is a file, and on ``file://`` each file
+    costs its executor two processes that set permissions."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, parts // 4))
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of intermediate files, wherever it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

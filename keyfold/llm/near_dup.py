@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import Output, all_columns, checkpoint, first_rows, is_small, keep_ids, lookup, rows, texts
+from .common import Output, all_columns, checkpoint, fewer_parts, first_rows, is_small, keep_ids, lookup, rows, texts
 from .components import components
 
 BATCH = 24
@@ -281,14 +281,15 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "
     """
     docs = texts(docs, id_col, text_col)
     features = checkpoint(_features(docs, cfg))
+    parts = features.rdd.getNumPartitions()
     classes = checkpoint(features.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "row")).alias("first")).where("c > 1").drop("c"))
-    classed = features.join(F.broadcast(classes) if is_small(classes) else classes, ["hi", "lo", "n_shingles"], "left")
+    classed = fewer_parts(features, parts).join(F.broadcast(classes) if is_small(classes) else classes, ["hi", "lo", "n_shingles"], "left")
     narrow = checkpoint(classed.select("row", "doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("rep"), (F.coalesce("first.row", "row") == F.col("row")).alias("leads")))
     features = keep_ids(features, narrow.where("not leads").select("row"), "anti")
 
     rows_ = features.where("n_shingles > 0").select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = checkpoint(rows_.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    members = checkpoint(lookup(rows_, shared, "key"))
+    members = checkpoint(lookup(fewer_parts(rows_, parts), shared, "key"))
     score = members.groupBy("doc_id").agg(F.sum("c").alias("score"))
     hubs = checkpoint(members.join(score, "doc_id").groupBy("key").agg(F.max(F.struct("score", "doc_id"))["doc_id"].alias("hub")))
     stars = lookup(members, hubs, "key").where("doc_id <> hub").groupBy("hub", "doc_id").agg(F.max("c").alias("c"))
@@ -311,8 +312,8 @@ def drop_near_duplicates(docs: DataFrame, cfg: Settings = Settings()) -> DataFra
     Rows that share an identifier are one document, of which the longest text stays; texts
     without words are linked with nothing and stay; rows without identifier go.
     """
-    found = checkpoint(near_duplicates(docs, cfg).select("doc_id", "kept"))
-    out = keep_ids(docs.where("doc_id is not null"), found.where("not kept").select("doc_id").distinct(), "anti")
+    found = near_duplicates(docs, cfg).select("doc_id", "kept")
+    out = keep_ids(docs.where("doc_id is not null"), checkpoint(found.where("not kept").select("doc_id").distinct()), "anti")
     again = checkpoint(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     return first_rows(out, again).select(*all_columns(docs))
 

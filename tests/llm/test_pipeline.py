@@ -42,6 +42,22 @@ def test_stage_equals_brute_force(spark, name):
     assert sorted(r.doc_id for r in out.collect()) == want
 
 
+def test_near_keeps_small_tables_in_few_files(spark, monkeypatch):
+    """Only the signatures are in as many files as the input has parts."""
+    parts = []
+
+    def checkpoint(df):
+        out = common.checkpoint(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(near_dup, "checkpoint", checkpoint)
+    df = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(64)
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    assert sorted(r.doc_id for r in STAGES["near"](spark, df, SMALL).collect()) == near(docs)
+    assert sorted(parts)[-1] == 64 and sorted(parts)[-2] <= 16
+
+
 TEN = "one two three four five six seven eight nine ten"
 ROWS = [
     (1, TEN, "a", 1, True),
