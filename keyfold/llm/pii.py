@@ -132,10 +132,12 @@ _FILLER = ["and then it was the same as before", "in the course of the day", "fo
 
 
 def carriers(docs: DataFrame, most: int = CARRIERS) -> list[str]:
-    """A place of each of at most ``most`` documents, chosen by a hash of the identifier."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """A place of each of at most ``most`` documents, chosen by a hash of the identifier; of rows that share one, by the place."""
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - 64, F.lit(1))).cast("int")
-    got = docs.join(F.broadcast(ids), "doc_id").select(F.substring("text", at + 1, F.lit(64)).alias("t")).collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = docs.select("doc_id").orderBy(*order).limit(most)
+    places = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.substring("text", at + 1, F.lit(64)).alias("t"))
+    got = places.orderBy(*order, "t").limit(most).collect()
     return sorted(r.t for r in got if len(r.t.split()) > 4) or _FILLER
 
 
@@ -250,11 +252,16 @@ def _joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
 
+def _n_base(i: int) -> Column:
+    """How many spans in ``found`` are of base generator ``i``; it isn't a parameter of the lambda, whose second one is the place in the array."""
+    return F.size(F.filter("found", lambda s: s.base & (s.g == i))).cast("long")
+
+
 def op3_candidate_boosting(spark, sf_dir: str) -> DataFrame:
     """Contract query: base counts and digest, all spans, and how many there are and were added."""
     out = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("found", lambda s: s.base)
-    n = [F.size(F.filter("found", lambda s, i=i: s.base & (s.g == i))).cast("long").alias(f"n_{GENERATORS[i][0]}") for i in range(BASE)]
+    n = [_n_base(i).alias(f"n_{GENERATORS[i][0]}") for i in range(BASE)]
     return out.select("doc_id", *n, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"), (F.size("found") - F.size(base)).cast("long").alias("n_added"))
 
 

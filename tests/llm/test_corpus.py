@@ -234,6 +234,31 @@ def test_base_spans(spark):
     assert got == {i: pii.brute_force(t) for i, t in docs}
 
 
+def test_base_counts_and_digest(spark, tmp_path):
+    kinds = ["email", "ip", "card", "phone"]
+    one = ["x@y.z, ", "10.0.0.1, ", "4111111111111111, ", "+1 482 555 7163, "]
+    docs = [(i, "".join(n * t for n, t in zip(c, one))) for i, c in enumerate(itertools.product(range(3), repeat=4))]
+    docs += [(100, None), (101, ""), (102, "".join(reversed(one)) * 2), (103, "🙂é " + "call (017) 555-1234 or a.b at example dot com " + one[3]), (104, one[1] + 'token = "d4e71e33b54f40bc277a32011430a66d5e984911" ' + one[0])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in QUERIES["op3_candidate_boosting"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in docs:
+        spans = pii.brute_force(t)
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{z}" for k, a, z in spans).encode()).hexdigest()
+        want[i] = (*(sum(s[0] == k for s in spans) for k in kinds), digest)
+    assert got == want
+    assert all(got[i][:4] == c for i, c in enumerate(itertools.product(range(3), repeat=4)))
+
+
+def test_rows_that_share_an_identifier_lend_no_more_places(spark, tmp_path):
+    docs = [(7, f"row {i} holds some words that are long enough to lend a place of its own, x@y.z, " * (i % 3 + 1)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(pii.carriers(df, 10)) == 10 and len(pii.carriers(df)) == 60
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op3_candidate_boosting"](spark, str(tmp_path)).collect()
+    assert sorted(r.n_email for r in got) == [1] * 20 + [2] * 20 + [3] * 20
+
+
 def added(out):
     return {x.doc_id: [(s.kind, s.start, s.end) for s in x.found if not s.base] for x in out.collect()}
 
